@@ -4,13 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexistrata.llm.common import durable, table
 from lexistrata.llm.exact_dedup import exact_dedup
+from lexistrata.llm.langid import keep_identified, train_languages
+from lexistrata.llm.packing import packed_documents
+from lexistrata.llm.quality import keep_quality, train_quality
 from lexistrata.llm.simhash import simhash_components
 
+#: A document whose language is this unsure is rejected; texts in two languages in equal parts reach about 0.5.
+LEAST_LANGUAGE_SCORE = 0.35
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts as 1 stay. It is fitted on the labelled ones among docs."""
+    return keep_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a letter and a language determined well enough stay."""
+    return keep_identified(docs, train_languages(docs), LEAST_LANGUAGE_SCORE)
+
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
@@ -24,11 +41,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_kept")), "left_semi")
 
 
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document that is left, as pieces of packed sequences."""
+    return packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", keep_good),
+    ("language id", keep_known_language),
     ("exact dedup", drop_exact_copies),
-    ("near dedup", drop_near_copies),
+    ("simhash near-dedup", drop_near_copies),
+    ("best-fit packing", pack_documents),
 ]
 
+#: The stages score texts with trained models, which SQL cannot express; tests/llm hold the rows against a plain version.
 ORACLE_SQL = None
 
 
