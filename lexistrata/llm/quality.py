@@ -147,7 +147,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     share = {y: min(1.0, limit / 2 / n) for y, n in counts.items()}
     hashed = F.pmod(F.xxhash64("_id"), F.lit(1 << 20))
     drawn = usable.where(hashed < F.when(F.col("_y") == 1, share.get(1, 0.0) * (1 << 20)).otherwise(share.get(0, 0.0) * (1 << 20)))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(drawn, "_id").select("_id", "_text", "_y").collect()
+    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    rows = picked.join(F.broadcast(drawn.limit(2 * limit)), "_id").select("_id", "_text", "_y").collect()  # at most 2 x limit ids
     rows.sort(key=lambda r: (r._id, r._text or ""))
     net = train([r._text or "" for r in rows], np.array([r._y for r in rows], np.float64))
     if len(share) == 2:  # the odds as they are, not as they were drawn
