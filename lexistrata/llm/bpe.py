@@ -6,23 +6,18 @@ import base64
 import heapq
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexistrata.llm.common import ragged, small_batches, texts_of
+from lexistrata.llm.words import IdCache
 
 NONE = np.int32(np.iinfo(np.int32).max)
 #: Widths of the padded matrices; a longer piece is merged with a heap, whose time follows length x log length.
 WIDTHS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 96, 128, 256)
-#: Distinct pieces whose ids a worker keeps; at this number it starts anew.
-CACHE = 400_000
-#: Pieces of one text that are held at a time.
-BLOCK = 500_000
 
 
 class PairTable:
@@ -76,9 +71,7 @@ class Bpe:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.pattern = regex.compile(pattern)
-        self.index: dict[str, int] = {}
-        self._forget()
+        self.cache = IdCache(pattern, self._encode_pieces)
         self._pairs: PairTable | None = None
         self.bytes_to_id = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         tokens = [b""] * (max(self.ranks.values()) + 1)
@@ -94,11 +87,6 @@ class Bpe:
             self._pairs = PairTable(self.ranks)
         return self._pairs
 
-    def _forget(self) -> None:
-        self.index.clear()
-        self.flat, self.used = np.empty(1 << 16, np.int32), 0
-        self.starts, self.lengths = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
-
     def merge_rows(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge every row of a padded matrix to the end: the rows' ids one after the other, and their lengths.
 
@@ -193,64 +181,10 @@ class Bpe:
         order = np.argsort(places, kind="stable")
         return flat[ragged(starts[order], counts[order])], counts[order]
 
-    def _remember(self, pieces: list[str]) -> None:
-        flat, counts = self._encode_pieces(pieces)
-        n, m = len(self.index), len(self.index) + len(pieces)
-        while m > len(self.starts):
-            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.starts[n:m], self.lengths[n:m] = self.used + np.cumsum(counts) - counts, counts
-        self.used += len(flat)
-        self.index.update(zip(pieces, range(n, m), strict=True))
-
-    def ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces one after the other, and each piece's number of ids. Only pieces not met before are merged."""
-        new = list(set(pieces).difference(self.index))
-        if len(self.index) + len(new) > CACHE and self.index:
-            self._forget()
-            new = list(set(pieces))
-        if new:
-            self._remember(sorted(new))
-        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
-        counts = self.lengths[at]
-        return self.flat[ragged(self.starts[at], counts)], counts
-
-    def _blocks(self, text: str) -> Iterator[list[str]]:
-        if len(text) <= BLOCK:
-            yield self.pattern.findall(text)
-        else:
-            found = (m.group() for m in self.pattern.finditer(text))
-            while block := list(islice(found, BLOCK)):
-                yield block
-
     def encode(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and each text's number of ids."""
-        flats, lengths = [np.empty(0, np.int32)], []
-        held: list[list[str]] = []
-
-        def flush() -> None:
-            if held:
-                ids, counts = self.ids_of(list(chain.from_iterable(held)))
-                ends = np.concatenate([[0], np.cumsum(counts)])
-                cuts = np.concatenate([[0], np.cumsum([len(p) for p in held])])
-                lengths.extend(np.diff(ends[cuts]).tolist())
-                flats.append(ids)
-                held.clear()
-
-        for text in texts:
-            if len(text) <= BLOCK:
-                held.append(self.pattern.findall(text))
-                continue
-            flush()
-            total = 0
-            for block in self._blocks(text):
-                flats.append(self.ids_of(block)[0])
-                total += len(flats[-1])
-            lengths.append(total)
-        flush()
-        return np.concatenate(flats), np.array(lengths, np.int64)
+        found = self.cache(list(texts))
+        return np.concatenate([np.empty(0, np.int32), *found]), np.fromiter(map(len, found), np.int64, len(found))
 
     def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         """The texts' bytes, of ids one after the other and each text's number of ids."""
@@ -276,8 +210,8 @@ def bpe_encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
 
     The text is split by `pattern`; each match is merged on its own: always the leftmost pair of least rank. Special tokens are
     ordinary text. The distinct matches of a batch that the worker has not met before are merged together in padded matrices,
-    one per length bucket, with hashed pair look-ups. Nothing is shuffled; memory is bounded by the batch, the cache (CACHE
-    pieces) and the longest text.
+    one per length bucket, with hashed pair look-ups. Nothing is shuffled; memory is bounded by the batch, the caches of words
+    (words.CACHE) and the longest text.
 
     Defined results: null and empty texts give an empty list; null and repeated ids are kept; an empty table gives no rows;
     other columns are ignored.
@@ -285,7 +219,7 @@ def bpe_encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path, pattern)
-        for b in small_batches(batches):
+        for b in small_batches(batches, 256):
             yield _list_batch(b.column(0), *bpe.encode(texts_of(b.column(1))))
 
     id_type = df.schema[id_col].dataType.simpleString()
@@ -301,7 +235,7 @@ def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path, "")
-        for b in small_batches(batches):
+        for b in small_batches(batches, 128):
             lists = b.column(b.num_columns - 1)
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)

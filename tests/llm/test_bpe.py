@@ -7,7 +7,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 
-from lexistrata.llm import bpe
+from lexistrata.llm import words
 from lexistrata.llm.bpe import Bpe, bpe_decode, bpe_encode
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
@@ -32,7 +32,7 @@ def random_texts(n, seed):
 
 
 def test_equals_tiktoken(own, reference):
-    texts = [*random_texts(1500, 1), "", "I'll don't they've", "a" * 255, "a" * 256, "ab" * 128 + "a"]
+    texts = [*random_texts(1500, 1), "", "I'll don't they've", "a b  c", " a", "a ", "a\n b", "a \nb", "é.\nÜb, c", "²³ ½a ª's", "\xa0a \xa0 b\x85", "\u3000 a", "a \x1c b 's 'S", "a" * 255, "a" * 256, "ab" * 128 + "a"]
     flat, lengths = own.encode(texts)
     assert [x.tolist() for x in np.split(flat, np.cumsum(lengths)[:-1])] == [reference.encode_ordinary(t) for t in texts]
     assert own.decode(flat, lengths) == [t.encode() for t in texts]
@@ -58,8 +58,9 @@ def test_heap_equals_matrices(own):
 
 def test_cache_and_blocks_do_not_matter(own, reference, monkeypatch):
     texts = list(random_texts(60, 4))
-    monkeypatch.setattr(bpe, "CACHE", 50)
-    monkeypatch.setattr(bpe, "BLOCK", 9)
+    monkeypatch.setattr(words, "CACHE", 50)
+    monkeypatch.setattr(words, "BLOCK", 9)
+    monkeypatch.setattr(words, "LONG_TEXT", 20)
     small = Bpe(PATH, P.PATTERN)
     for t in texts:
         assert small.encode([t])[0].tolist() == reference.encode_ordinary(t)
