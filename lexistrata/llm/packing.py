@@ -9,21 +9,21 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexistrata.llm.common import durable, ragged, small_batches, texts_of
+from lexistrata.llm.common import durable, small_batches, texts_of
+from lexistrata.llm.words import BYTE_LEVEL, IdCache
 
-#: Distinct words whose ids a worker keeps; at this number it starts anew.
-CACHE = 600_000
+#: Distinct words whose ids a worker keeps.
+CACHE = 500_000
+#: New words that go to the library as one text.
+JOINED = 256
 #: Pieces that are packed together: enough for tight bins, few enough for one task.
 SHARD = 32_768
 #: Most pieces that a task holds, should a shard be larger than planned.
 HELD = 131_072
-#: The split that the byte-level tokenizer files make before merging; words are encoded one by one and remembered.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class WordIds:
@@ -35,43 +35,34 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pattern = regex.compile(WORDS)
-        self.index: dict[str, int] = {}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.index.clear()
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.starts, self.lengths = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
-
-    def _remember(self, words: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # each character of a token stands for a byte
+        self.token_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self.cache = IdCache(BYTE_LEVEL, self._encode, CACHE)
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after the other, and their numbers. A blank and letters are always a word of their own, so such
+        words go to the library many at a time; the bytes that tokens stand for show where each one's ids end."""
+        plain = np.fromiter((w[0] == " " and w[1:].isalpha() for w in words), bool, len(words))
+        joined = [w for w, p in zip(words, plain.tolist(), strict=True) if p]
+        flat, counts = self._ids(["".join(joined[i : i + JOINED]) for i in range(0, len(joined), JOINED)])
+        ends = np.concatenate([[0], np.cumsum(self.token_bytes[flat])])
+        stops = np.searchsorted(ends, np.cumsum(np.fromiter((len(w.encode()) for w in joined), np.int64, len(joined))))
+        others, other_counts = self._ids([w for w, p in zip(words, plain.tolist(), strict=True) if not p])
+        sizes = np.empty(len(words), np.int64)
+        sizes[plain], sizes[~plain] = np.diff(stops, prepend=0), other_counts
+        out = np.empty(len(flat) + len(others), np.int32)
+        of_plain = np.repeat(plain, sizes)
+        out[of_plain], out[~of_plain] = flat, others
+        return out, sizes
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))
-        n, m = len(self.index), len(self.index) + len(words)
-        while m > len(self.starts):
-            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.starts[n:m], self.lengths[n:m] = self.used + np.cumsum(counts) - counts, counts
-        self.used += len(flat)
-        self.index.update(zip(words, range(n, m), strict=True))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum())), counts
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        found = [self.pattern.findall(t) for t in texts]
-        words = list(chain.from_iterable(found))
-        new = set(words).difference(self.index)
-        if len(self.index) + len(new) > CACHE and self.index:
-            self._forget()
-            new = set(words)
-        if new:
-            self._remember(list(new))
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        counts = self.lengths[at]
-        flat = self.flat[ragged(self.starts[at], counts)]
-        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *map(len, found)])]
-        return [flat[a:b] for a, b in zip(ends.tolist(), ends.tolist()[1:], strict=False)]
+        return self.cache(texts)
 
 
 @lru_cache(2)
@@ -91,7 +82,7 @@ def tokenized_pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int
         for b in small_batches(batches, 256):
             rows, pieces, starts, lengths, data = [], [], [], [], []
             for row, ids in enumerate(encode(texts_of(b.column(1)))):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                ids = np.append(ids, end_id).astype("<u4")
                 at, n, piece = 0, len(ids) % capacity or capacity, 0
                 while at < len(ids):
                     rows.append(row)
@@ -112,13 +103,7 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     """Bin and offset of every piece.
 
     A bin takes the longest piece left, then always the longest that fits its gap. Then, as long as it helps, its smallest piece
-    gives way to two unpacked ones that fill the widened gap more tightly. Pieces of a length are taken in their order. Where
-    tight early bins use up the short pieces that later ones need, filling without that exchange gives fewer bins and counts."""
-    two, plain = _fill(lengths, capacity, True), _fill(lengths, capacity, False)
-    return two if two[0].max(initial=-1) <= plain[0].max(initial=-1) else plain
-
-
-def _fill(lengths: np.ndarray, capacity: int, exchange: bool) -> tuple[np.ndarray, np.ndarray]:
+    gives way to two unpacked ones that fill the widened gap more tightly. Pieces of a length are taken in their order."""
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     order = np.argsort(lengths, kind="stable")
     counts = np.bincount(lengths, minlength=capacity + 1)
@@ -144,7 +129,7 @@ def _fill(lengths: np.ndarray, capacity: int, exchange: bool) -> tuple[np.ndarra
         while gap and (n := int(fit[gap])):
             held.append((n, take(n)))
             gap -= n
-        while exchange and gap and fit[capacity]:
+        while gap and fit[capacity]:
             small, item = held[-1]  # each was the longest that fitted, so the last is the smallest
             space = gap + small
             longer = np.flatnonzero(counts[1:space]) + 1
