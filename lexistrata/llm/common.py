@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,13 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_alone: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset (single machine) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or what the context was told; only where neither is set
+    (a single machine, as in tests) a temporary folder, one for each application."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="lexistrata-")
-        spark.conf.set("spark.checkpoint.dir", f"file://{found}")
-        found = spark.conf.get("spark.checkpoint.dir")
+        app = spark.sparkContext.applicationId
+        if app not in _alone:
+            _alone[app] = "file://" + tempfile.mkdtemp(prefix="lexistrata-")
+        found = _alone[app]
     return found.rstrip("/")
 
 
@@ -86,8 +90,3 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
     return np.arange(total, dtype=np.int64) + np.repeat(starts.astype(np.int64) - (ends - lengths), lengths)
-
-
-def table_names(sql: str) -> set[str]:
-    """Names after FROM or JOIN in a statement (used in tests)."""
-    return set(re.findall(r"(?:FROM|JOIN)\s+(\w+)", sql, re.I))
