@@ -5,9 +5,11 @@ created_dirs): an operation carries its data, so rows are independent and apply
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexistrata.operators.ranking import with_rank
+
 #: Operation types in the order in which a changeset lists them.
 TYPES = ["delete", "move", "create", "delta", "directory"]
 
@@ -69,7 +71,7 @@ def moved(source: DataFrame, target: DataFrame) -> DataFrame:
 def journal(source: DataFrame, target: DataFrame) -> DataFrame:
     """The operations that turn source into target, numbered: deletes, moves, creates, deltas by path, then one for directories.
 
-    Numbers come from each type's own order plus the counts of the types before it (five rows), so types sort in parallel."""
+    Numbers come from ranges of (type, path) that are sorted side by side."""
     moves = moved(source, target)
     gone = deleted(source, target).join(moves.select("path"), "path", "left_anti")
     new = created(source, target).join(moves.select(F.col("to_path").alias("path")), "path", "left_anti")
@@ -92,10 +94,8 @@ def journal(source: DataFrame, target: DataFrame) -> DataFrame:
         .unionByName(dirs)
     )
     rank = F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col("type"))
-    counts = ops.groupBy("type").agg(F.count("*").alias("_n")).withColumn("_t", rank)
-    before = counts.withColumn("_off", F.coalesce(F.sum("_n").over(Window.orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("type", "_off")
-    numbered = ops.withColumn("_r", F.row_number().over(Window.partitionBy("type").orderBy("path"))).join(F.broadcast(before), "type")
-    return numbered.select((F.col("_off") + F.col("_r") - 1).alias("seq"), "type", "path", "to_path", "digest", "content", "mtime", "deleted_dirs", "created_dirs")
+    numbered = with_rank(ops.withColumn("_t", rank), [F.col("_t"), F.col("path")], "_r")
+    return numbered.select((F.col("_r") - 1).alias("seq"), "type", "path", "to_path", "digest", "content", "mtime", "deleted_dirs", "created_dirs")
 
 
 def journal_stats(ops: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexistrata.operators.ranking import ranged
+
 
 def _last(df: DataFrame, first: bool) -> DataFrame:
     pick = F.min_by if first else F.max_by
@@ -76,13 +78,13 @@ def neighbors(store: DataFrame, buckets: int = 64) -> DataFrame:
     Keys are ranged into buckets first and lag and lead run inside each; a bucket's edges look to the least and greatest keys
     of all buckets (one row for each), so no task sorts the whole store."""
     keys = store.select("key").distinct()
-    ranged = keys.repartitionByRange(buckets, "key").withColumn("_b", F.spark_partition_id())
-    w = Window.partitionBy("_b").orderBy("key")
-    rows = ranged.withColumn("_p", F.lag("key").over(w)).withColumn("_n", F.lead("key").over(w))
-    edges = ranged.groupBy("_b").agg(F.min("key").alias("_lo"), F.max("key").alias("_hi"))
-    e = Window.orderBy("_b")
-    edges = edges.select("_b", F.lag("_hi").over(e).alias("_before"), F.lead("_lo").over(e).alias("_after"))
-    return rows.join(F.broadcast(edges), "_b").select("key", F.coalesce("_p", "_before").alias("prev_key"), F.coalesce("_n", "_after").alias("next_key"))
+    split = ranged(keys, [F.col("key")], buckets)
+    w = Window.partitionBy("_range").orderBy("key")
+    rows = split.withColumn("_p", F.lag("key").over(w)).withColumn("_n", F.lead("key").over(w))
+    edges = split.groupBy("_range").agg(F.min("key").alias("_lo"), F.max("key").alias("_hi"))
+    e = Window.orderBy("_range")
+    edges = edges.select("_range", F.lag("_hi").over(e).alias("_before"), F.lead("_lo").over(e).alias("_after"))
+    return rows.join(F.broadcast(edges), "_range").select("key", F.coalesce("_p", "_before").alias("prev_key"), F.coalesce("_n", "_after").alias("next_key"))
 
 
 #: Orders of keys by name: the sort columns of a string key. Decimal keys compare by their whole difference only.

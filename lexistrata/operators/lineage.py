@@ -42,16 +42,14 @@ def _checkpointed(df: DataFrame) -> bool:
     return bool(df.sparkSession.conf.get("spark.checkpoint.dir", None))
 
 
-def paths(spark_or_df: DataFrame, limit: int = 100) -> DataFrame:
-    """id, path (ids from the root on, joined by /) by a recursive common table expression."""
-    spark = spark_or_df.sparkSession
-    spark_or_df.createOrReplaceTempView("_revisions")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max(limit, 100)))
-    return spark.sql(
-        f"""WITH RECURSIVE p(id, path) AS (
-              SELECT id, id FROM _revisions WHERE parent_id = '{ROOT}'
-              UNION ALL SELECT r.id, concat(p.path, '/', r.id) FROM _revisions r JOIN p ON r.parent_id = p.id)
-            SELECT id, path FROM p"""
+def paths(revisions: DataFrame, limit: int = 100) -> DataFrame:
+    """id, path (ids from the root on, joined by /) by a recursive common table expression; chains may be `limit` long."""
+    return revisions.sparkSession.sql(
+        f"""WITH RECURSIVE p(id, path) MAX RECURSION LEVEL {limit} AS (
+              SELECT id, id FROM {{revisions}} WHERE parent_id = '{ROOT}'
+              UNION ALL SELECT r.id, concat(p.path, '/', r.id) FROM {{revisions}} r JOIN p ON r.parent_id = p.id)
+            SELECT id, path FROM p""",
+        revisions=revisions,
     )
 
 

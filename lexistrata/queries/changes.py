@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexistrata.operators import changes as ch
 from lexistrata.queries.common import Query, table
-from lexistrata.sources import catalog
+from lexistrata.sources import storage
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -110,7 +110,7 @@ def journal_build(spark, d):
 
 @query("journal_scan", f"{_JOURNAL} SELECT CAST(seq AS BIGINT) AS seq, type, path FROM journal")
 def journal_scan(spark, d):
-    path = catalog.scratch(spark, "journal")
+    path = storage.scratch(spark, "journal")
     ch.journal(*both(spark, d)).write.json(path)
     return spark.read.schema("seq long, type string, path string").json(path)
 

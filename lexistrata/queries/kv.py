@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexistrata.operators import keyvalue as kv
+from lexistrata.operators.ranking import with_rank
 from lexistrata.queries.common import Query, table
-from lexistrata.sources import catalog
+from lexistrata.sources import storage
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -87,7 +88,7 @@ def kv_stats(spark, d):
 
 @query("kv_roundtrip", f"{_WITH} SELECT key, value FROM store")
 def kv_roundtrip(spark, d):
-    path = catalog.scratch(spark, "kv")
+    path = storage.scratch(spark, "kv")
     customers(spark, d).write.parquet(path)
     return spark.read.parquet(path)
 
@@ -160,12 +161,10 @@ def btree_neighbors(spark, d):
 
 
 def _first_in_order(name: str, sort: str) -> None:
-    @query(f"btree_order_{name}", f"WITH k AS (SELECT CAST(c_custkey AS VARCHAR) AS key FROM customer UNION ALL SELECT CAST(s_acctbal AS VARCHAR) FROM supplier) SELECT key, CAST(row_number() OVER (ORDER BY {sort}) AS INT) AS rank FROM k")
+    @query(f"btree_order_{name}", f"WITH k AS (SELECT CAST(c_custkey AS VARCHAR) AS key FROM customer UNION ALL SELECT CAST(s_acctbal AS VARCHAR) FROM supplier) SELECT key, row_number() OVER (ORDER BY {sort}) AS rank FROM k")
     def ordered(spark, d):
-        from pyspark.sql import Window
-
         keys = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("key")).unionByName(table(spark, d, "supplier").select(F.col("s_acctbal").cast("string").alias("key")))
-        return keys.select("key", F.row_number().over(Window.orderBy(*[c.asc_nulls_first() for c in kv.ORDERS[name](F.col("key"))])).alias("rank"))
+        return with_rank(keys, [c.asc_nulls_first() for c in kv.ORDERS[name](F.col("key"))], "rank")
 
 
 for _name, _sort in (("lex", "key"), ("int", "CASE WHEN regexp_matches(key, '^-?[0-9]+$') THEN CAST(key AS BIGINT) END NULLS FIRST, key"), ("num", "strlen(key), key"), ("dec", "TRY_CAST(key AS DOUBLE) NULLS FIRST, key")):
@@ -175,7 +174,7 @@ for _name, _sort in (("lex", "key"), ("int", "CASE WHEN regexp_matches(key, '^-?
 @query("btree_txn_abort", f"{_WITH} SELECT key, value FROM store")
 def btree_txn_abort(spark, d):
     """A transaction writes a new version beside the store; abandoned, the store reads as before."""
-    path = catalog.scratch(spark, "txn")
+    path = storage.scratch(spark, "txn")
     customers(spark, d).write.parquet(f"{path}/v1")
     kv.put_over(spark.read.parquet(f"{path}/v1"), by_customer(spark, d)).write.parquet(f"{path}/v2-uncommitted")
     return spark.read.parquet(f"{path}/v1")
@@ -184,7 +183,7 @@ def btree_txn_abort(spark, d):
 @query("lob_scan")
 def lob_scan(spark, d):
     """Large values as files: name, size and digest by the binary file source."""
-    path = catalog.scratch(spark, "lob")
+    path = storage.scratch(spark, "lob")
     table(spark, d, "benchmark").select(F.col("text").alias("value")).write.text(path)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
     return files.select("length", F.md5("content").alias("digest"))
@@ -192,7 +191,7 @@ def lob_scan(spark, d):
 
 @query("read_lines", "SELECT unnest(string_split(text, chr(10))) AS line FROM documents")
 def read_lines(spark, d):
-    path = catalog.scratch(spark, "lines")
+    path = storage.scratch(spark, "lines")
     table(spark, d, "documents").select("text").write.text(path)
     return spark.read.text(path).select(F.col("value").alias("line"))
 

@@ -89,10 +89,12 @@ def postings(spark, d):
     return posts_of(spark, d)
 
 
-@query("postings_list", f"WITH {POSTINGS} SELECT word, count(*) AS df, string_agg(id || ':' || score, ' ' ORDER BY score DESC, id) AS list FROM postings GROUP BY word")
+@query("postings_list", f"WITH {POSTINGS} SELECT word, CAST(floor(id / 65536) AS BIGINT) AS part, count(*) AS df, string_agg(id || ':' || score, ' ' ORDER BY score DESC, id) AS list FROM postings GROUP BY ALL")
 def postings_list(spark, d):
-    p = posts_of(spark, d).groupBy("word").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))).alias("l"))
-    return p.select("word", F.size("l").cast("long").alias("df"), F.array_join(F.transform("l", lambda x: F.concat(x["id"].cast("string"), F.lit(":"), (-x["s"]).cast("string"))), " ").alias("list"))
+    """Lists by word and range of 65,536 ids, best scores first, so the list of a word that every document has stays bounded."""
+    part = F.floor(F.col("id") / 65536).alias("part")
+    p = posts_of(spark, d).groupBy("word", part).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))).alias("l"))
+    return p.select("word", "part", F.size("l").cast("long").alias("df"), F.array_join(F.transform("l", lambda x: F.concat(x["id"].cast("string"), F.lit(":"), (-x["s"]).cast("string"))), " ").alias("list"))
 
 
 @query("doc_freq", f"WITH {POSTINGS} SELECT word, count(*) AS df FROM postings GROUP BY word")
@@ -232,9 +234,9 @@ def find_counts(spark, d):
 
 @query("catalog_open", f"SELECT doc_id AS id, {URI} AS uri, len({tokens_sql('text')}) AS words FROM documents")
 def catalog_open(spark, d):
-    from lexistrata.sources import catalog
+    from lexistrata.sources import catalog, storage
 
-    path = catalog.scratch(spark, "catalog")
+    path = storage.scratch(spark, "catalog")
     catalog.save(index_of(spark, d), path)
     return catalog.load(spark, path).docs.select("id", "uri", F.size("nwords").cast("long").alias("words"))
 

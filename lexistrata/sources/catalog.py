@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 
 from lexistrata.operators.index import Index, optimize
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder of the session (spark.checkpoint.dir), or in a temporary one on a single machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexistrata-")
-    return f"{shared.rstrip('/')}/lexistrata/{label}-{uuid.uuid4().hex}"
-
-
 def save(index: Index, path: str, mode: str = "error") -> None:
     """Documents as they come; postings purged, ranged and sorted by word, so that a look-up of a word reads few row groups."""
     index.docs.write.mode(mode).parquet(f"{path}/docs")
