@@ -62,13 +62,14 @@ def parse(text: Column) -> Column:
     t = F.trim(text)
     iso = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:[T ](\d{1,2}):(\d{1,2})(?::(\d{1,2}))?(Z|[+-]\d{2}:?\d{2})?)?$"
     rfc = r"^(?:[A-Za-z]{3},\s*)?(\d{1,2}) ([A-Za-z]{3}) (\d{4}) (\d{1,2}):(\d{1,2})(?::(\d{1,2}))?(?: ([A-Za-z]{1,4}|[+-]\d{4}))?$"
-    i = [F.regexp_extract(t, iso, n) for n in range(1, 8)]
-    r = [F.regexp_extract(t, rfc, n) for n in range(1, 8)]
-    month = F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.lower(r[1])).cast("string")
-    value = (
-        F.when(t.rlike(r"^-?\d+$"), t.try_cast("bigint"))
-        .when(t.rlike("^0[xX][0-9A-Fa-f]+$"), F.conv(F.substr(t, F.lit(3)), 16, 10).try_cast("bigint"))
-        .when(t.rlike(iso), _epoch(*i[:6]) - _offset(i[6]))
-        .when(t.rlike(rfc), _epoch(r[2], month, r[0], *r[3:6]) - _offset(r[6]))
-    )
+    # one pass each: fields year, month, day, hour, minute, second, zone
+    fields = F.when(t.rlike(iso), F.split(F.regexp_replace(t, iso, "$1|$2|$3|$4|$5|$6|$7"), "\\|"))
+    fields = fields.when(t.rlike(rfc), F.split(F.regexp_replace(t, rfc, "$3|$2|$1|$4|$5|$6|$7"), "\\|"))
+    months = F.create_map(*[F.lit(x) for n, m in enumerate(_MONTHS) for x in (m, str(n + 1))])
+
+    def seconds(f: Column) -> Column:
+        return _epoch(f[0], F.coalesce(F.try_element_at(months, F.lower(f[1])), f[1]), *[f[n] for n in range(2, 6)]) - _offset(f[6])
+
+    dated = F.transform(F.array(fields), lambda f: F.when(f.isNotNull(), seconds(f)))[0]  # binds the fields once
+    value = F.when(t.rlike(r"^-?\d+$"), t.try_cast("bigint")).when(t.rlike("^0[xX][0-9A-Fa-f]+$"), F.conv(F.substr(t, F.lit(3)), 16, 10).try_cast("bigint")).otherwise(dated)
     return F.coalesce(value, F.lit(-1).cast("long"))

@@ -44,7 +44,8 @@ class CharClasses:
 
     def normal(self, token: Column) -> Column:
         """Empty for a run of delimiters; else A-Z lower-cased and without glue at the end."""
-        return F.when(token.rlike(f"^{self.delimiter_class}"), "").otherwise(F.rtrim(fold(self.as_is(token)), F.lit(self.glue)))
+        delimiters = F.contains(F.lit(self.delimiter), F.substring(token, 1, 1))
+        return F.when(delimiters, "").otherwise(F.rtrim(fold(self.as_is(token)), F.lit(self.glue)))
 
     def normal_word(self, word: Column) -> Column:
         """The normal form of a single word: empty only if every character is a delimiter."""

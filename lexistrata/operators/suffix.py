@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Beyond this many characters suffixes are sorted by doubling ranks instead of by their text, which is quadratic in memory.
 SHORT = 2000
@@ -74,11 +75,25 @@ def lcp(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return pairs.select("id", "rank", "pos", F.when(F.col("_before").isNull(), F.lit(0)).otherwise(common_prefix(a, b)).alias("lcp"))
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _positions(text: pd.Series, pattern: pd.Series) -> pd.Series:
+    def of(t: str | None, p: str | None) -> list[int] | None:
+        if t is None or p is None:
+            return None
+        found, at = [], t.find(p) if p else -1
+        while at >= 0:
+            found.append(at)
+            at = t.find(p, at + 1)
+        return found
+
+    return pd.Series([of(t, p) for t, p in zip(text, pattern, strict=True)])
+
+
 def all_positions(text: Column, pattern: Column) -> Column:
-    """Every position (from 0) where the whole pattern occurs, overlaps included; none for an empty pattern."""
-    last = F.char_length(text) - F.char_length(pattern)
-    every = F.when((last >= 0) & (F.char_length(pattern) > 0), F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.filter(every, lambda i: F.substr(text, i + 1, F.char_length(pattern)) == pattern)
+    """Every position (from 0) where the whole pattern occurs, overlaps included; none for an empty pattern.
+
+    A scan in Arrow batches: expressions reach a place in UTF-8 text only from its begin, which makes them quadratic."""
+    return _positions(text, pattern)
 
 
 def longest_match(source: Column, target: Column, start: Column) -> Column:

@@ -20,3 +20,10 @@ def materialized(df: DataFrame, label: str) -> DataFrame:
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df itself, unless its files give fewer splits than there are cores: then its rows are dealt over the cores. Only small
+    inputs (a file or two) are ever moved by this; larger ones have more splits than cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
