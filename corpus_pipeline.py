@@ -1,4 +1,8 @@
-"""A corpus cleaning pipeline: each stage's documents are written as Parquet and read again as the next one's."""
+"""A corpus cleaning pipeline: each stage's documents are written as Parquet and read again as the next one's.
+
+Stages that filter keep all columns of their rows, whatever these are. Defined results: null texts are empty (the language stage
+rejects them, as texts without a letter); rows that repeat a doc_id are one document, and rows without one are taken together by
+the deduplicating stages: they stay if any of them is the one that its group keeps; empty tables stay empty."""
 
 from __future__ import annotations
 
@@ -31,14 +35,14 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_kept")), "left_semi")
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept_doc_id"))
+    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_kept_doc_id")), "left_semi")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id."""
-    kept = simhash_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_kept")), "left_semi")
+    kept = simhash_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_doc_id"))
+    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_kept_doc_id")), "left_semi")
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

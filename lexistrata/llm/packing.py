@@ -21,9 +21,9 @@ CACHE = 500_000
 #: New words that go to the library as one text.
 JOINED = 256
 #: Pieces that are packed together: enough for tight bins, few enough for one task.
-SHARD = 32_768
+SHARD = 131_072
 #: Most pieces that a task holds, should a shard be larger than planned.
-HELD = 131_072
+HELD = 262_144
 
 
 class WordIds:

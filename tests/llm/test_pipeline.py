@@ -59,3 +59,21 @@ def test_run_is_the_stages(spark):
     assert corpus_pipeline.ORACLE_SQL is None
     out = run(spark, D)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
+
+
+def test_odd_tables(spark):
+    """Nulls, extra and clashing columns, repeated rows, no rows: filters keep the columns, nothing fails."""
+    schema = "text string, doc_id long, lang string, source string, n_chars long, _id int, score map<string,array<int>>"
+    good = spark.read.parquet(f"{D}/documents.parquet").where("lang = 'en' and n_chars > 300").orderBy("doc_id").limit(2).collect()
+    rows = [(None, 1, None, None, None, None, None), ("", 2, "en", "s", 0, 1, {}), (good[0].text, 3, "en", "s", 1, 1, {"a": [1]}), (good[0].text, 3, "en", "s", 1, 1, {"a": [1]}), (good[0].text + " ", 4, "en", "s", 1, 1, {}), (good[1].text, None, "en", "s", 1, 1, {}), ("12 34", 5, "de", "s", 1, 1, {})]
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, schema)
+        for k, (_, stage) in enumerate(STAGES):
+            out = stage(spark, docs, D)
+            got = out.collect()
+            if k < 4:
+                assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
+            if k == 1:
+                assert {r.doc_id for r in got} <= {3, 4, None}
+            if k == 2 and data:
+                assert [r.doc_id for r in got if r.text and r.text.strip() == good[0].text.strip()] == [4]
