@@ -56,7 +56,7 @@ def replace_map(s: Column, pairs: list[tuple[str, str]]) -> Column:
 
     keys = "|".join(re.escape(k) for k, _ in pairs)
     cuts = F.regexp_extract_all(s, F.lit(f"(?s){keys}|."), F.lit(0))
-    lookup = F.create_map(*[F.lit(x) for k, v in reversed(pairs) for x in (k, v)]) if len({k for k, _ in pairs}) == len(pairs) else F.create_map(*[F.lit(x) for k, v in dict(reversed(pairs)).items() for x in (k, v)])
+    lookup = F.create_map(*[F.lit(x) for k, v in dict(reversed(pairs)).items() for x in (k, v)])  # of equal keys the first
     return F.array_join(F.transform(cuts, lambda c: F.coalesce(F.try_element_at(lookup, c), c)), "")
 
 

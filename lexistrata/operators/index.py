@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 from lexistrata.functions.text import STANDARD, CharClasses, score_log
 
 
+# Fixed values of the scores: an occurrence, one in the first tenth, the least length term, and what the terms divide by.
+OCCURRENCE, EARLY, LEAST_TERM, TERM_DIVISOR = 10000, 5000, 8.0, 8.0
+#: Fixed value: candidates for each keyword that is wanted.
+KEYWORD_POOL = 1.75
+
+
 @dataclass
 class Index:
     docs: DataFrame
@@ -34,8 +40,12 @@ def term_frequencies(tokens: DataFrame) -> DataFrame:
 
 def posting_score(tf: Column, first_pos: Column, wnum: Column) -> Column:
     """10000 for each occurrence and 5000 more for one in the first tenth, over a length term of 8 at least; cut to whole."""
-    early = F.when(first_pos <= (wnum * F.lit(0.1)).cast("int"), 5000).otherwise(0)
-    return ((tf * 10000 + early) / F.greatest(F.lit(8.0), F.pow(score_log(wnum), 3.0) / 8.0)).cast("int")
+    early = F.when(first_pos <= (wnum * F.lit(0.1)).cast("int"), EARLY).otherwise(0)
+    return ((tf * OCCURRENCE + early) / length_term(wnum)).cast("int")
+
+
+def length_term(x: Column) -> Column:
+    return F.greatest(F.lit(LEAST_TERM), F.pow(score_log(x), 3.0) / TERM_DIVISOR)
 
 
 def postings(df: DataFrame, id_col: str, text_col: str, classes: CharClasses = STANDARD) -> DataFrame:
@@ -132,12 +142,12 @@ def keywords(docs: DataFrame, most: int, df_table: DataFrame | None = None) -> D
 
     A weight is 10000 for each occurrence in the stored words; the floor(1.75 most) best (weight, then longer, then bytes)
     are kept, divided by the document frequency's term of 8 at least (with df_table), and ranked again."""
-    rows = docs.select("id", F.explode("nwords").alias("word")).where("word <> ''").groupBy("id", "word").agg((F.count("*") * 10000).alias("num"))
+    rows = docs.select("id", F.explode("nwords").alias("word")).where("word <> ''").groupBy("id", "word").agg((F.count("*") * OCCURRENCE).alias("num"))
     order = [F.desc("num"), F.desc(F.octet_length("word")), F.col("word")]
     by_doc = Window.partitionBy("id").orderBy(*order)
-    pool = rows.withColumn("r", F.row_number().over(by_doc)).where(F.col("r") <= int(1.75 * most)).drop("r")
+    pool = rows.withColumn("r", F.row_number().over(by_doc)).where(F.col("r") <= int(KEYWORD_POOL * most)).drop("r")
     if df_table is not None:
-        d = F.greatest(F.lit(8.0), F.pow(score_log(F.coalesce("df", F.lit(0))), 3.0) / 8.0)
+        d = length_term(F.coalesce("df", F.lit(0)))
         pool = pool.join(df_table, "word", "left").withColumn("num", F.when(F.col("df").isNull(), F.lit(0)).otherwise((F.col("num") / d).cast("long"))).drop("df")
     return pool.withColumn("rank", F.row_number().over(by_doc)).where(F.col("rank") <= most).select("id", "rank", "word", "num")
 
