@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from lexistrata.llm.common import durable, table
 from lexistrata.llm.exact_dedup import exact_dedup
 from lexistrata.llm.langid import keep_identified, train_languages
+from lexistrata.llm.near_dedup import near_components
 from lexistrata.llm.packing import packed_documents
 from lexistrata.llm.quality import keep_quality, train_quality
-from lexistrata.llm.simhash import simhash_components
 
 #: A document whose language is this unsure is rejected; texts in two languages in equal parts reach about 0.5.
 LEAST_LANGUAGE_SCORE = 0.35
@@ -40,8 +40,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
-    kept = simhash_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_doc_id"))
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays: the one with the smallest id."""
+    kept = near_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_doc_id"))
     return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_kept_doc_id")), "left_semi")
 
 
@@ -54,7 +54,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("quality classifier", keep_good),
     ("language id", keep_known_language),
     ("exact dedup", drop_exact_copies),
-    ("simhash near-dedup", drop_near_copies),
+    ("near dedup", drop_near_copies),
     ("best-fit packing", pack_documents),
 ]
 
