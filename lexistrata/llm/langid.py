@@ -15,8 +15,8 @@ from lexistrata.llm.common import crc_mod, small_batches, texts_of
 
 #: Slots of the hashed feature weights.
 SLOTS = 1 << 16
-#: Characters of a word that features see: of a longer word, this many at the begin and at the end.
-HEAD, TAIL = 16, 8
+#: Letters of a word at most; a run without blanks that has more is cut into words of PIECE letters, about those of a usual word.
+WIDEST, PIECE = 24, 8
 #: Training draws at most so many documents of each language (by a hash of the id), stretches of each, and words of a stretch.
 TRAIN_DOCS, STRETCHES, STRETCH = 250, 3, 40
 #: Languages that are learned at most, the most frequent ones.
@@ -27,26 +27,31 @@ LEXICON_COUNT = 3
 BLOCK, CACHE = 64, 400_000
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
+_PIECES = regex.compile(rf"[^\p{{L}}\p{{M}}]*+[\p{{L}}\p{{M}}]{{1,{PIECE}}}|[^\p{{L}}\p{{M}}]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of other than white space; the unit that is labelled."""
-    return text.split()
+    """Runs of other than white space; the unit that is labelled. A run of more than WIDEST letters (a script without blanks, words
+    joined by other signs) is cut at its other signs and into words of PIECE letters, so that all its letters count."""
+    words = text.split()
+    if not any(len(w) > WIDEST for w in words):
+        return words
+    return [p for w in words for p in (_PIECES.findall(w) if len(w) > WIDEST and sum(map(str.isalpha, w)) > WIDEST else (w,))]
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letters of lower-cased words as a padded matrix of code points (at most HEAD + TAIL wide), and their numbers."""
+    """Letters of lower-cased words as a padded matrix of code points (at most WIDEST wide), and their numbers."""
     kept = []
     for w in words:
         w = w.lower()
         if not w.isalpha():
             w = "".join(filter(str.isalpha, w))
-        kept.append(w if len(w) <= HEAD + TAIL else w[:HEAD] + w[-TAIL:])
+        kept.append(w)
     n = np.fromiter(map(len, kept), np.int64, len(kept))
-    out = np.zeros((len(kept), HEAD + TAIL), np.uint64)
+    out = np.zeros((len(kept), WIDEST), np.uint64)
     flat = np.frombuffer("".join(kept).encode("utf-32-le", "surrogatepass"), np.uint32)
-    out[np.arange(HEAD + TAIL) < n[:, None]] = flat
+    out[np.arange(WIDEST) < n[:, None]] = flat
     return out, n
 
 
@@ -67,7 +72,7 @@ def features(words: list[str], lexicon: np.ndarray) -> tuple[np.ndarray, np.ndar
         slots.append((_mix(h[mask]) & np.uint64(SLOTS - 1)).astype(np.int64))
 
     whole = np.zeros(len(words), np.uint64)
-    for i in range(HEAD + TAIL):
+    for i in range(WIDEST):
         live = n > i
         whole = np.where(live, _mix(whole * np.uint64(31) + codes[:, i] + np.uint64(7)), whole)
         if i < 4:
@@ -78,10 +83,10 @@ def features(words: list[str], lexicon: np.ndarray) -> tuple[np.ndarray, np.ndar
         live = n > i
         tail = _mix(tail * np.uint64(31) + codes[all_rows, np.maximum(n - 1 - i, 0)] + np.uint64(7))
         put(live, tail + np.uint64(1 << 42))
-    for i in range(HEAD + TAIL - 1):
+    for i in range(WIDEST - 1):
         two = codes[:, i] * np.uint64(0x110000) + codes[:, i + 1]
         put(n > i + 1, two + np.uint64(1 << 50))
-        if i < HEAD + TAIL - 2:
+        if i < WIDEST - 2:
             put(n > i + 2, _mix(two) + codes[:, i + 2] + np.uint64(1 << 51))
     rows, slots = np.concatenate(rows), np.concatenate(slots)
     order = np.argsort(rows, kind="stable")
@@ -91,7 +96,7 @@ def features(words: list[str], lexicon: np.ndarray) -> tuple[np.ndarray, np.ndar
 def word_hashes(words: list[str]) -> np.ndarray:
     codes, n = _codes(words)
     whole = np.zeros(len(words), np.uint64)
-    for i in range(HEAD + TAIL):
+    for i in range(WIDEST):
         whole = np.where(n > i, _mix(whole * np.uint64(31) + codes[:, i] + np.uint64(7)), whole)
     return whole
 

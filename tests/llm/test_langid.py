@@ -63,3 +63,20 @@ def test_edges_and_switches(spark):
     none = train([], [])
     assert [r.lang_pred for r in identify_languages(df, none).collect()] == ["und"] * 8
     assert {x for r in word_languages(df, none).collect() for x in r.langs} == {None}
+
+
+def test_every_letter_of_a_run_without_blanks_counts(spark):
+    """Texts joined without blanks, or by other signs: what lies between begin and end decides, and counts by its length."""
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    model = train_languages(docs)
+    en, de = (docs.where(f"lang = '{x}' and n_chars between 800 and 3000 and text not like '%|%'").orderBy("doc_id").first().text.split() for x in ("en", "de"))
+    for sign in ("", ",", "/", "_", "\u200b"):
+        run = sign.join([*en[:3], *de[:100], *en[3:6]])
+        assert model.predict([run])[0] == ["de"]
+        assert model.predict([" ".join(en[6:16]) + " " + run])[0] == ["de"]
+        assert "".join(langid.words_of(run)) == run
+    thai = "\u0e20\u0e32\u0e29\u0e32\u0e44\u0e17\u0e22\u0e17\u0e35\u0e48" * 50
+    words = langid.words_of(thai)
+    slots, counts = langid.features(words, model.lexicon)
+    assert "".join(words) == thai and (counts > 0).all() and max(map(len, words)) <= langid.PIECE
+    assert langid.words_of("short, words stay-as they're " + "a" * 24) == ["short,", "words", "stay-as", "they're", "a" * 24]
