@@ -19,8 +19,10 @@ SLOTS = 1 << 16
 WIDEST, PIECE = 24, 8
 #: Training draws at most so many documents of each language (by a hash of the id), stretches of each, and words of a stretch.
 TRAIN_DOCS, STRETCHES, STRETCH = 250, 3, 40
-#: Languages that are learned at most, the most frequent ones.
-LANGUAGES = 64
+#: Documents that training draws at most, over all languages, but for one or more of each: every language is learned.
+TRAIN_TOTAL = 4000
+#: Numbers of a work array in training; labels up to which texts are cut into blocks (the blocks' maps cost labels times more).
+WORK, FEW_LABELS = 1 << 22, 16
 #: A whole word is a lexicon feature if so many training stretches hold it.
 LEXICON_COUNT = 3
 #: Words of a block in forward-backward; distinct words whose emissions a worker keeps.
@@ -105,8 +107,12 @@ def _sums(weights: np.ndarray, slots: np.ndarray, counts: np.ndarray) -> np.ndar
     """Each word's sum of weights over its features."""
     out = np.zeros((len(counts), weights.shape[1]))
     full = np.flatnonzero(counts)
-    if len(full):
-        out[full] = np.add.reduceat(weights[slots], (np.cumsum(counts) - counts)[full], axis=0)
+    begin, part = (np.cumsum(counts) - counts)[full], np.cumsum(counts[full]) * weights.shape[1] // WORK
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(full)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if a < b:
+            end = begin[b] if b < len(full) else len(slots)
+            out[full[a:b]] = np.add.reduceat(weights[slots[begin[a] : end]], begin[a:b] - begin[a], axis=0)
     return out
 
 
@@ -123,21 +129,22 @@ def posteriors(emission: np.ndarray, transition: np.ndarray, lengths: np.ndarray
     labels = emission.shape[1]
     e = np.exp(emission - emission.max(axis=1, keepdims=True)) + 1e-30
     t = np.exp(transition - transition.max())
-    blocks = -(-lengths // BLOCK)
+    block = BLOCK if labels <= FEW_LABELS else max(BLOCK, int(lengths.max(initial=0)))
+    blocks = -(-lengths // block)
     total = int(blocks.sum())
     if not total:
         return np.zeros((0, labels))
     doc = np.repeat(np.arange(len(lengths)), blocks)
     nth = np.arange(total) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    begin = np.repeat(np.cumsum(lengths) - lengths, blocks) + nth * BLOCK
-    size = np.minimum(BLOCK, np.repeat(lengths, blocks) - nth * BLOCK)
+    begin = np.repeat(np.cumsum(lengths) - lengths, blocks) + nth * block
+    size = np.minimum(block, np.repeat(lengths, blocks) - nth * block)
     order = np.argsort(-size, kind="stable")
     begin, size, doc, nth = begin[order], size[order], doc[order], nth[order]
-    live = (size[None, :] > np.arange(BLOCK)[:, None]).sum(axis=1)  # blocks that have a step's word: a leading part
+    live = total - np.searchsorted(size[::-1], np.arange(block), "right")  # blocks that have a step's word: a leading part
     # each block as a map of the message before it: rows are basis vectors
-    through = np.broadcast_to(np.eye(labels), (total, labels, labels)).copy()
     if blocks.max() > 1:
-        for i in range(BLOCK):
+        through = np.broadcast_to(np.eye(labels), (total, labels, labels)).copy()
+        for i in range(block):
             if not (m := int(live[i])):
                 break
             step = (through[:m].reshape(-1, labels) @ t).reshape(m, labels, labels) * e[begin[:m] + i][:, None, :]
@@ -154,19 +161,19 @@ def posteriors(emission: np.ndarray, transition: np.ndarray, lengths: np.ndarray
         at = place[starts[blocks > j] + j]
         before = place[starts[blocks > j] + j - 1]
         behind[before] = _scaled(np.einsum("dij,dj->di", through[at], behind[at]))
-    forward = np.empty((BLOCK, total, labels))
+    forward = np.empty_like(e)
     now = ahead
-    for i in range(BLOCK):
+    for i in range(block):
         if not (m := int(live[i])):
             break
         now = _scaled((now[:m] @ t) * e[begin[:m] + i])
-        forward[i, :m] = now
+        forward[begin[:m] + i] = now
     out = np.empty_like(e)
     now = behind
-    for i in range(BLOCK - 1, -1, -1):
+    for i in range(block - 1, -1, -1):
         if not (m := int(live[i])):
             continue
-        out[begin[:m] + i] = _scaled(forward[i, :m] * now[:m])
+        out[begin[:m] + i] = _scaled(forward[begin[:m] + i] * now[:m])
         now[:m] = _scaled((now[:m] * e[begin[:m] + i]) @ t.T)
     return out
 
@@ -188,7 +195,7 @@ class LanguageModel:
     def emissions(self, words: list[str]) -> np.ndarray:
         """Log scores of words; those of distinct words are remembered."""
         index = self._cache.setdefault("index", {})
-        if len(index) > CACHE:
+        if len(index) > CACHE * (FEW_LABELS + 1) // max(FEW_LABELS + 1, len(self.languages) + 1):
             index.clear()
             self._cache.pop("table")
         table = self._cache.setdefault("table", np.empty((1 << 12, len(self.languages) + 1)))
@@ -262,19 +269,28 @@ def train(texts: list[str], langs: list[str], rounds: int = 40, rate: float = 0.
     inner[np.cumsum(lengths) - lengths] = False
     at = np.flatnonzero(inner)
     seen_t = np.bincount(truth[at - 1] * k + truth[at], minlength=k * k).reshape(k, k).astype(float)
+    # sequences are taken a part at a time, so that working memory does not follow words x languages
+    part = np.cumsum(lengths) * k // WORK
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(lengths)]
+    ends = np.concatenate([[0], np.cumsum(lengths)])
     for _ in range(rounds):
-        em = _sums(weights, slots, counts)[inverse]
-        probs = posteriors(em, transition, lengths)
-        miss = probs.copy()
-        miss[np.arange(len(truth)), truth] -= 1
-        by_word = np.stack([np.bincount(inverse, miss[:, c], len(kinds)) for c in range(k)], axis=1)
-        spread = np.repeat(by_word, counts, axis=0)
-        grad = np.stack([np.bincount(slots, spread[:, c], SLOTS) for c in range(k)], axis=1) / len(lengths) + 1e-4 * weights
-        # expected switches, from neighbouring words' probabilities under the transitions
+        table = _sums(weights, slots, counts)
+        by_word, pairs = np.zeros((len(kinds), k)), np.zeros((k, k))
         t = np.exp(transition - transition.max())
-        left, right = probs[at - 1], probs[at]
-        pair = left[:, :, None] * t * right[:, None, :]
-        grad_t = ((pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0) - seen_t) / len(lengths) + 1e-3 * transition
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            a, b = ends[x], ends[y]
+            probs = posteriors(table[inverse[a:b]], transition, lengths[x:y])
+            # expected switches, from neighbouring words' probabilities under the transitions
+            here = np.flatnonzero(inner[a:b])
+            left, right = probs[here - 1], probs[here]
+            pairs += t * (left.T @ (right / ((left @ t) * right).sum(axis=1, keepdims=True)))
+            probs[np.arange(b - a), truth[a:b]] -= 1
+            for c in range(k):
+                by_word[:, c] += np.bincount(inverse[a:b], probs[:, c], len(kinds))
+        grad = 1e-4 * weights
+        for c in range(k):
+            grad[:, c] += np.bincount(slots, np.repeat(by_word[:, c], counts), SLOTS) / len(lengths)
+        grad_t = (pairs - seen_t) / len(lengths) + 1e-3 * transition
         square_w += grad * grad
         square_t += grad_t * grad_t
         weights -= rate * grad / np.sqrt(square_w)
@@ -285,15 +301,17 @@ def train(texts: list[str], langs: list[str], rounds: int = 40, rate: float = 0.
 def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_DOCS) -> LanguageModel:
     """A model of the documents with a language whose crc32(id as text) mod 3 is not 1.
 
-    About per_language documents of each language are drawn by a hash of the id; their whole texts come to the driver, the one
-    bounded sample here (LANGUAGES x per_language documents at most)."""
+    Every language is learned. About per_language documents of each, or where there are more than TRAIN_TOTAL / per_language
+    languages an equal share of TRAIN_TOTAL, are drawn by a hash of the id, the least hash of each language always; their whole
+    texts come to the driver, the one bounded sample here."""
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & (crc_mod(id_col, 3) != 1))
-    counts = usable.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     hashed = F.pmod(F.xxhash64(id_col, F.lit(3)), F.lit(1 << 20))
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col(lang_col) == r.lang, min(1.0, per_language / r.n) * (1 << 20)).otherwise(share)
-    rows = usable.where(hashed < share).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).collect()
+    counts = usable.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n"), F.min(hashed).alias("least")).collect()
+    each = min(per_language, max(1, TRAIN_TOTAL // max(1, len(counts))))
+    share = {r.lang: max(r.least + 1.0, min(1.0, each / r.n) * (1 << 20)) for r in counts}
+    bounds = usable.sparkSession.createDataFrame(list(share.items()), "_lang string, _share double")
+    drawn = usable.join(F.broadcast(bounds), F.col(lang_col).cast("string") == F.col("_lang")).where(hashed < F.col("_share"))
+    rows = drawn.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col("_lang").alias("lang")).collect()
     rows.sort(key=lambda r: (r.id, r.text))
     return train([r.text for r in rows], [r.lang for r in rows])
 

@@ -80,3 +80,35 @@ def test_every_letter_of_a_run_without_blanks_counts(spark):
     slots, counts = langid.features(words, model.lexicon)
     assert "".join(words) == thai and (counts > 0).all() and max(map(len, words)) <= langid.PIECE
     assert langid.words_of("short, words stay-as they're " + "a" * 24) == ["short,", "words", "stay-as", "they're", "a" * 24]
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    """70 languages, each with letters of its own; the rarest are labelled too, and the draw is bounded in total."""
+    monkeypatch.setattr(langid, "TRAIN_TOTAL", 210)
+    rnd = np.random.default_rng(3)
+
+    def text(n):
+        letters = [chr(0x4E00 + 6 * n + j) for j in range(6)]
+        return " ".join("".join(rnd.choice(letters, 4)) for _ in range(30))
+
+    rows = [(1000 * n + i, text(n), f"l{n:02}") for n in range(70) for i in range(12 if n < 64 else 4)]
+    model = train_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == [f"l{n:02}" for n in range(70)]
+    assert np.mean([a == f"l{n:02}" for n, a in enumerate(model.predict([text(n) for n in range(70)])[0])]) > 0.95
+
+
+def test_forward_backward_and_sums_of_many_labels(monkeypatch):
+    rnd = np.random.default_rng(4)
+    lengths = np.array([3, 0, 2 * langid.BLOCK + 7, 1])
+    em, tr = rnd.standard_normal((lengths.sum(), 40)) * 2, rnd.standard_normal((40, 40))
+    got, at = posteriors(em, tr, lengths), 0
+    for n in lengths.tolist():
+        if n:
+            assert np.allclose(got[at : at + n], plain(em[at : at + n], tr))
+        at += n
+    weights, counts = rnd.standard_normal((langid.SLOTS, 40)), np.array([0, 5, 0, 2, 9, 0])
+    slots = rnd.integers(0, langid.SLOTS, counts.sum())
+    whole = langid._sums(weights, slots, counts)
+    monkeypatch.setattr(langid, "WORK", 100)
+    assert np.allclose(langid._sums(weights, slots, counts), whole)
+    assert np.allclose(whole[1], weights[slots[:5]].sum(axis=0)) and not whole[[0, 2, 5]].any()
