@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
-#: Earlier turns that a long conversation's prefixes are rendered with; shorter conversations are rendered whole.
+#: Earlier turns that turn_template's prefixes of a long conversation are rendered with.
 WINDOW = 16
 
 # The template's control strings. A backslash is doubled and `\-` goes into each control string of a text, so none is left.
@@ -38,6 +38,10 @@ def turn_template(turns: list[Turn]) -> str:
     return "".join(f"### Role: {escape(role)}\n<turn>{escape(text)}</turn>\n" for role, text in turns)
 
 
+#: Declares that a turn's output follows from the turn and so many before it at most. Spans verifies it for each long conversation.
+turn_template.window = WINDOW
+
+
 class RewritesHistory(ValueError):
     """A template that changes what it wrote for earlier turns when a turn is added."""
 
@@ -60,24 +64,33 @@ class Spans:
     and where its text lies in it. The text is found by rendering the turn a second time with a mark for its text: what comes
     before and after the mark is the template's. A prefix that does not begin with the one before it is a rewritten history.
 
-    Up to `window` turns all prefixes are whole. Beyond, prefixes start at most 2 x window turns back, at least window; whenever
-    the start moves on, the last turn must come out the same with the longer and the shorter history, so a template that looks
-    back further is found out, and memory and time for a turn don't grow with the conversation.
+    All prefixes are whole, so time grows with the square of a conversation's turns. Only where a window is declared, by the caller or
+    by the template's attribute `window`, prefixes beyond 2 x window turns start at most so many turns back, at least window; whenever
+    the start moves on, the last turn must come out the same with the longer and the shorter history, and close(), called after the
+    last turn, holds the joined output against one rendering of the whole conversation.
     """
 
-    def __init__(self, template: Template, window: int = WINDOW):
-        self.template, self.window = template, window
+    def __init__(self, template: Template, window: int | None = None):
+        self.template = template
+        self.window = window if window is not None else getattr(template, "window", None)
         self.turns: list[Turn] = []
+        self.dropped: list[Turn] = []
         self.before = template([])
         self.opening = self.before
+        self.joined = hashlib.sha256(self.opening.encode("utf-8", "surrogatepass"))
+
+    def close(self) -> None:
+        if self.dropped and hashlib.sha256(self.template([*self.dropped, *self.turns]).encode("utf-8", "surrogatepass")).digest() != self.joined.digest():
+            raise RewritesHistory("the whole conversation's output is not that of its windows")
 
     def add(self, role: str, text: str) -> tuple[str, int, int]:
-        if len(self.turns) >= 2 * self.window:
+        if self.window is not None and len(self.turns) >= 2 * self.window:
             shorter = self.turns[-self.window :]
             last = len(self.before) - len(self.template(self.turns[:-1]))
             again = self.template(shorter)
             if last and not again.endswith(self.before[-last:]):
                 raise RewritesHistory("a turn's output depends on turns far before it")
+            self.dropped.extend(self.turns[: -self.window])
             self.turns, self.before = shorter, again
         now = self.template([*self.turns, (role, text)])
         if not now.startswith(self.before):
@@ -92,6 +105,8 @@ class Spans:
             raise RewritesHistory("the template changes more than the text when a turn's text changes")
         self.turns.append((role, text))
         self.before = now
+        if self.window is not None:
+            self.joined.update(own.encode("utf-8", "surrogatepass"))
         return own, len(head), len(own) - len(tail)
 
 
@@ -103,16 +118,16 @@ def _sorted_turns(df: DataFrame, conv: str, turn: str, role: str, text: str) ->
     return picked.repartition("_c").sortWithinPartitions("_c", "_t", "_r", "_x")
 
 
-def format_turns(df: DataFrame, template: Template = turn_template, loss_roles: tuple[str, ...] = ("assistant",), conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def format_turns(df: DataFrame, template: Template = turn_template, loss_roles: tuple[str, ...] = ("assistant",), conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", window: int | None = None) -> DataFrame:
     """One row per turn, in conversations sorted by turn: conv_id, seq (from 0), role, text, formatted (the turn's own part of the
     output), text_start and text_end (the text's place in it, in code points), in_loss (the text is trained on).
 
     Conversations stay together in partitions sorted by (conversation, turn, role, text), and stream through the task one turn
-    at a time: what a task holds is one batch and the last turns of one conversation. Rows of one conversation come out together and in order.
+    at a time: what a task holds is one batch and the turns of one conversation. Rows of one conversation come out together and in order.
 
     Defined results: null roles and texts are empty; null turns come first; turns that tie go by role, then text; repeated rows
     are turns of their own; rows without conv_id form one conversation; an empty table gives no rows; other columns are ignored.
-    A template that rewrites history raises RewritesHistory."""
+    A template that rewrites history raises RewritesHistory, at whatever turn it does so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, spans, seq = object(), None, 0
@@ -120,6 +135,8 @@ def format_turns(df: DataFrame, template: Template = turn_template, loss_roles:
             out = []
             for c, r, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if spans is None or c != conv:
+                    if spans is not None:
+                        spans.close()
                     conv, spans, seq = c, Spans(template, window), 0
                 own, start, end = spans.add(r, x)
                 if seq == 0 and spans.opening:
@@ -129,6 +146,8 @@ def format_turns(df: DataFrame, template: Template = turn_template, loss_roles:
             cols = list(zip(*out, strict=True)) or [[]] * 8
             kinds = [b.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds, strict=True)], ["conv_id", "seq", "role", "text", "formatted", "text_start", "text_end", "in_loss"])
+        if spans is not None:
+            spans.close()
 
     return _sorted_turns(df, conv_col, turn_col, role_col, text_col).mapInArrow(run, _SCHEMA.format(kind=df.schema[conv_col].dataType.simpleString()))
 

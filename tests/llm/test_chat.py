@@ -70,3 +70,44 @@ def test_query(spark):
     out = op5_chat(spark, d).collect()
     assert {r.conv_id: tuple(r)[1:5] for r in out} == {c: digests(t) for c, t in convs.items()}
     assert all(r.formatted_chars == len(turn_template(convs[r.conv_id])) for r in out)
+
+
+def late(turns):
+    return "".join(f"<{t}>" for _, t in (turns if len(turns) <= 40 else [("", "..."), *turns[-39:]]))
+
+
+def test_late_rewriting_is_detected():
+    spans = Spans(late)
+    for i in range(40):
+        spans.add("user", f"t{i}")
+    with pytest.raises(RewritesHistory):
+        spans.add("user", "t40")
+
+
+def numbering(turns):
+    return "".join(f"{i}: {r}: {t}\n" for i, (r, t) in enumerate(turns))
+
+
+def alternating(turns):
+    roles = [r for r, _ in turns if r != "system"]
+    if any(r != ("assistant" if i % 2 else "user") for i, r in enumerate(roles)):
+        raise ValueError("roles must alternate, from user on")
+    return "".join(f"[{r}] {t}\n" for r, t in turns)
+
+
+@pytest.mark.parametrize("template", [numbering, alternating])
+def test_templates_that_keep_history_work_at_every_length(template):
+    turns = [("system", "s"), *(("assistant" if i % 2 else "user", f"t{i}") for i in range(99))]
+    spans = Spans(template)
+    assert "".join(spans.add(*t)[0] for t in turns) == template(turns)
+    spans.close()
+
+
+def test_wrong_declaration_is_detected(spark):
+    def claims(turns):
+        return turn_template(turns if len(turns) <= 40 else turns[-39:])
+
+    df = spark.createDataFrame([(1, i, "user", f"t{i}") for i in range(50)], "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="RewritesHistory"):
+        format_turns(df, claims, window=4).collect()
+    assert format_turns(df).count() == 50
