@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexistrata.sources.storage import spread
+from lexistrata.sources.storage import materialized as durable  # the one helper, under the name that operators here use
 
 #: The white space of every contract here: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\f\r"
@@ -24,45 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name == "documents" else df
 
 
-_alone: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or what the context was told; only where neither is set
-    (a single machine, as in tests) a temporary folder, one for each application."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        app = spark.sparkContext.applicationId
-        if app not in _alone:
-            _alone[app] = "file://" + tempfile.mkdtemp(prefix="lexistrata-")
-        found = _alone[app]
-    return found.rstrip("/")
-
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended: the cluster's own cleaning removes the folder
-            return
-
-
-atexit.register(_clean)
-
-
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """Write df as parquet into the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexistrata/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def stripped(text: Column) -> Column:
     """text without any character of SPACES (JVM-side)."""
     for ch in SPACES:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexistrata.llm.common import durable
+from lexistrata.sources.storage import Rounds
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,15 +29,16 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     Only the number and a sum over edges reach the driver, once a round. Each round is written to the shared folder, so the
     plan does not grow and a lost executor costs one round at most. Minima are aggregated before they are shuffled, and the
     join back to a hub's edges is one that adaptive execution splits. The rounds grow with the logarithm of the longest
-    chain. Loops, repeated edges and nulls are ignored; no edges give no rows.
+    chain, and a finished round's table is deleted. Loops, repeated edges and nulls are ignored; no edges give no rows.
     """
-    now = durable(edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct(), label)
+    rounds = Rounds(label)
+    now = rounds.next(edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct())
     seen = None
     while True:
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == tuple(sign) or not sign[0]:
             break
         seen = tuple(sign)
-        now = durable(_stars(_stars(now, True), False), label)
+        now = rounds.next(_stars(_stars(now, True), False))
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
