@@ -27,18 +27,21 @@ HELD = 262_144
 
 
 class WordIds:
-    """Ids of texts by a tokenizer file; each distinct word goes through the library once."""
+    """Ids of texts as the tokenizer file gives them through the library with add_special_tokens=False; each distinct word goes
+    through it once. A text that holds an added token's string, which the library makes that token's id, is encoded whole, unless
+    such strings are to be plain text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = added_as_text
+        added = () if added_as_text else tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # each character of a token stands for a byte
         self.token_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
-        self.cache = IdCache(BYTE_LEVEL, self._encode, CACHE)
+        self.cache = IdCache(BYTE_LEVEL, self._encode, CACHE, lambda text: self._ids([text])[0], added)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words one after the other, and their numbers. A blank and letters are always a word of their own, so such
@@ -66,19 +69,25 @@ class WordIds:
 
 
 @lru_cache(2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, added_as_text: bool) -> WordIds:
+    return WordIds(path, added_as_text)
 
 
-def tokenized_pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenized_pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", added_as_text: bool = False) -> DataFrame:
     """Each text's ids by the tokenizer file `path`, then end_id, cut into pieces of `capacity` ids at most.
 
-    Columns: id_col, piece int (from 0), start long, length long, ids binary (little-endian unsigned 32-bit). Only what is
-    longer than the capacity is cut; the first piece may be shorter, all others are full. A null text is empty, so its one
-    piece holds end_id alone. Nothing is shuffled."""
+    Columns: id_col, row_key long (one number for each input row, also where ids repeat or are null), piece int (from 0), start
+    long, length long, ids binary (little-endian unsigned 32-bit). Only what is longer than the capacity is cut; the first piece
+    may be shorter, all others are full. Nothing is shuffled; row_key is the row's partition and place in it, so write this
+    table before it is read twice.
+
+    Defined results: a null or empty text has one piece that holds end_id alone; strings of the file's added tokens become
+    these tokens' ids, as the library has it, or plain text with added_as_text; null and repeated ids are kept; an empty table
+    gives no rows; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_ids(path)
+        encode = word_ids(path, added_as_text)
+        done = TaskContext.get().partitionId() << 40
         for b in small_batches(batches, 256):
             rows, pieces, starts, lengths, data = [], [], [], [], []
             for row, ids in enumerate(encode(texts_of(b.column(1)))):
@@ -91,12 +100,14 @@ def tokenized_pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int
                     lengths.append(n)
                     data.append(ids[at : at + n].tobytes())
                     at, n, piece = at + n, capacity, piece + 1
-            cols = [b.column(0).take(pa.array(rows, pa.int64())), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(data, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["_id", "piece", "start", "length", "ids"])
+            keys = np.array(rows, np.int64) + done
+            done += b.num_rows
+            cols = [b.column(0).take(pa.array(rows, pa.int64())), pa.array(keys), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["_id", "row_key", "piece", "start", "length", "ids"])
 
     id_type = df.schema[id_col].dataType.simpleString()
     picked = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return picked.mapInArrow(run, f"_id {id_type}, piece int, start long, length long, ids binary").withColumnRenamed("_id", id_col)
+    return picked.mapInArrow(run, f"_id {id_type}, row_key long, piece int, start long, length long, ids binary").withColumnRenamed("_id", id_col)
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,33 +193,36 @@ def _pack(capacity: int):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, id_col: str = "doc_id") -> DataFrame:
-    """pieces (id_col, piece, length, more columns) with sequence_id long and offset long: its sequence and its place there.
+def pack(pieces: DataFrame, capacity: int = 2048, keys: tuple[str, ...] = ("row_key", "piece")) -> DataFrame:
+    """pieces (the key columns, length, more columns) with sequence_id long and offset long: its sequence and its place there.
 
-    Pieces are dealt by a hash of (id, piece) into shards of about SHARD pieces, so one source or long document spreads over
-    all of them; each shard is packed by best_two_fit on its own and leaves few bins partly filled. A piece is a few numbers
-    here: give pieces without their ids, and join them back where sequences are to be written (packed_sequences).
+    Pieces are dealt by a hash of the keys, which tell all pieces apart, into shards of about SHARD pieces, so one source, one
+    long document or many rows without an id spread over all of them; each shard is packed by best_two_fit on its own and leaves
+    few bins partly filled. A piece is a few numbers here: give pieces without their ids, and join them back where sequences are
+    to be written (packed_sequences).
 
-    The number of pieces is counted first, so pass a table that is cheap to read twice. Lengths must be 1 to capacity. Null ids
-    are kept; an empty table gives no rows."""
+    The number of pieces is counted first, so pass a table that is cheap to read twice. Lengths must be 1 to capacity. An empty
+    table gives no rows."""
     n = pieces.count()
-    dealt = pieces.repartition(max(1, -(-n // SHARD)), id_col, "piece").sortWithinPartitions(id_col, "piece")
+    dealt = pieces.repartition(max(1, -(-n // SHARD)), *keys).sortWithinPartitions(*keys)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     return dealt.mapInArrow(_pack(capacity), f"{kinds}, sequence_id long, offset long")
 
 
-def packed_documents(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed_documents(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", added_as_text: bool = False) -> DataFrame:
     """All documents packed: id_col, piece, start, length, ids_crc32, sequence_id, offset.
 
-    The pieces' descriptions are written to the shared folder; their ids are checksummed while they are made and not moved."""
-    made = tokenized_pieces(df, path, capacity, end_id, id_col, text_col)
-    light = durable(made.select(id_col, "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "packing-pieces")
-    return pack(light, capacity, id_col)
+    The pieces' descriptions are written to the shared folder; their ids are checksummed while they are made and not moved.
+    Defined results are those of tokenized_pieces; rows that repeat an id are documents of their own."""
+    made = tokenized_pieces(df, path, capacity, end_id, id_col, text_col, added_as_text)
+    light = durable(made.select(id_col, "row_key", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "packing-pieces")
+    return pack(light, capacity).select(id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-def packed_sequences(pieces: DataFrame, placed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(sequence_id, ids array<binary>): each sequence's pieces in order, from tokenized_pieces and pack. A sequence holds
-    `capacity` ids at most, so a group is bounded."""
-    at = placed.select(id_col, "piece", "sequence_id", "offset")
-    both = pieces.select(id_col, "piece", "ids").join(at, [id_col, "piece"])
+def packed_sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:
+    """(sequence_id, ids array<binary>): each sequence's pieces in order, from tokenized_pieces' table as it was written and
+    pack's of it. Pieces meet by (row_key, piece), so rows without an id or with a repeated one are neither lost nor multiplied. A
+    sequence holds `capacity` ids at most, so a group is bounded. No pieces give no rows."""
+    at = placed.select("row_key", "piece", "sequence_id", "offset")
+    both = pieces.select("row_key", "piece", "ids").join(at, ["row_key", "piece"])
     return both.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).getField("ids").alias("ids"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 from itertools import chain, islice
@@ -37,6 +38,17 @@ def _latin() -> tuple[re.Pattern, re.Pattern]:
     return re.compile(words), re.compile(f"[^\\u0000-\\u{LATIN_END - 1:04x}]")
 
 
+@lru_cache(1)
+def _unsettled() -> re.Pattern:
+    """A search for characters that Unicode tables of different years may class differently: all but those of the basic plane that
+    have the same category in Unicode 3.2 as now."""
+    old, now = unicodedata.ucd_3_2_0.category, unicodedata.category
+    settled = [c for c in range(0x10000) if old(chr(c)) == now(chr(c)) != "Cn"]
+    cuts = [i for i in range(1, len(settled)) if settled[i] != settled[i - 1] + 1]
+    runs = zip([0, *cuts], [*cuts, len(settled)], strict=True)
+    return re.compile("[^" + "".join(f"\\u{settled[a]:04x}-\\u{settled[b - 1]:04x}" for a, b in runs) + "]")
+
+
 class _Index(dict):
     """Numbers words as they come, and notes the new ones."""
 
@@ -50,11 +62,15 @@ class _Index(dict):
 
 
 class IdCache:
-    """Ids of texts, where encode_words gives the ids of distinct matches of the pattern; each goes through it once."""
+    """Ids of texts, where encode_words gives the ids of distinct matches of the pattern; each goes through it once.
 
-    def __init__(self, pattern: str, encode_words: Callable[[list[str]], Encoded], size: int | None = None):
+    Where encode_whole is given, texts with a character that engines of another Unicode version may class differently, and
+    texts that hold one of the strings `kept_whole`, are not split here but given to it."""
+
+    def __init__(self, pattern: str, encode_words: Callable[[list[str]], Encoded], size: int | None = None, encode_whole: Callable[[str], np.ndarray] | None = None, kept_whole: tuple[str, ...] = ()):
         self.pattern, self.encode_words, self.size = regex.compile(pattern), encode_words, size or CACHE
         self.latin = _latin() if pattern == BYTE_LEVEL else None
+        self.encode_whole, self.kept_whole = encode_whole, kept_whole
         self.index, self.over = _Index(), []
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
         self.starts, self.lengths = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
@@ -91,6 +107,12 @@ class IdCache:
     def _finder(self, text: str):
         return self.latin[0] if self.latin and not self.latin[1].search(text) else self.pattern
 
+    def _is_whole(self, text: str) -> bool:
+        if self.encode_whole is None:
+            return False
+        plain = self.latin is not None and not self.latin[1].search(text)
+        return any(k in text for k in self.kept_whole) or (not plain and _unsettled().search(text) is not None)
+
     def _long(self, text: str) -> np.ndarray:
         matches = (m.group() for m in self._finder(text).finditer(text))
         ids = [np.empty(0, np.int32)]
@@ -99,7 +121,8 @@ class IdCache:
         return np.concatenate(ids)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        long = {i: self._long(t) for i, t in enumerate(texts) if len(t) > LONG_TEXT}
+        long = {i: self.encode_whole(t) for i, t in enumerate(texts) if self._is_whole(t)}
+        long |= {i: self._long(t) for i, t in enumerate(texts) if len(t) > LONG_TEXT and i not in long}
         found = [[] if i in long else self._finder(t).findall(t) for i, t in enumerate(texts)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         flat, counts = self._ids(chain.from_iterable(found), int(sizes.sum()))

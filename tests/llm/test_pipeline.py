@@ -46,7 +46,6 @@ def test_stages_against_plain_versions(spark, tmp_path):
             assert kept == set(least.values())
         else:
             tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-            tokenizer.encode_special_tokens = True
             sizes = {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows.items()}
             found = {}
             for r in after.collect():
