@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -19,7 +20,8 @@ SLOTS = 1 << 16
 WIDEST, PIECE = 24, 8
 #: Training draws at most so many documents of each language (by a hash of the id), stretches of each, and words of a stretch.
 TRAIN_DOCS, STRETCHES, STRETCH = 250, 3, 40
-#: Documents that training draws at most, over all languages, but for one or more of each: every language is learned.
+#: Documents that training draws at most, over all languages, but for one or more of each: every language is learned. A word is
+#: WIDEST letters at most, so what reaches the driver is TRAIN_TOTAL x STRETCHES x STRETCH x WIDEST letters, 11.5 million, at most.
 TRAIN_TOTAL = 4000
 #: Numbers of a work array in training; labels up to which texts are cut into blocks (the blocks' maps cost labels times more).
 WORK, FEW_LABELS = 1 << 22, 16
@@ -28,7 +30,6 @@ LEXICON_COUNT = 3
 #: Words of a block in forward-backward; distinct words whose emissions a worker keeps.
 BLOCK, CACHE = 64, 400_000
 UNDETERMINED = "und"
-_LETTER = regex.compile(r"\p{L}")
 _PIECES = regex.compile(rf"[^\p{{L}}\p{{M}}]*+[\p{{L}}\p{{M}}]{{1,{PIECE}}}|[^\p{{L}}\p{{M}}]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -37,7 +38,7 @@ def words_of(text: str) -> list[str]:
     """Runs of other than white space; the unit that is labelled. A run of more than WIDEST letters (a script without blanks, words
     joined by other signs) is cut at its other signs and into words of PIECE letters, so that all its letters count."""
     words = text.split()
-    if not any(len(w) > WIDEST for w in words):
+    if not words or max(map(len, words)) <= WIDEST:
         return words
     return [p for w in words for p in (_PIECES.findall(w) if len(w) > WIDEST and sum(map(str.isalpha, w)) > WIDEST else (w,))]
 
@@ -120,9 +121,10 @@ def _scaled(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=-1, keepdims=True)
 
 
-def posteriors(emission: np.ndarray, transition: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def posteriors(emission: np.ndarray, transition: np.ndarray, lengths: np.ndarray, pairs: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
     """Each word's label probabilities by forward-backward. emission: log scores (words, labels) of all texts one after the
-    other; transition: log scores (labels, labels); lengths: words of each text.
+    other; transition: log scores (labels, labels); lengths: words of each text. With pairs, also the sums over all neighbouring
+    words of a text of the two labels' joint probabilities (labels, labels).
 
     Texts are cut into blocks, all blocks take a step at a time, and each block's linear map carries the messages across block
     borders, so that a long text costs no more steps than a short one and the result is exact."""
@@ -133,13 +135,14 @@ def posteriors(emission: np.ndarray, transition: np.ndarray, lengths: np.ndarray
     blocks = -(-lengths // block)
     total = int(blocks.sum())
     if not total:
-        return np.zeros((0, labels))
+        return (np.zeros((0, labels)), np.zeros((labels, labels))) if pairs else np.zeros((0, labels))
     doc = np.repeat(np.arange(len(lengths)), blocks)
     nth = np.arange(total) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     begin = np.repeat(np.cumsum(lengths) - lengths, blocks) + nth * block
     size = np.minimum(block, np.repeat(lengths, blocks) - nth * block)
     order = np.argsort(-size, kind="stable")
     begin, size, doc, nth = begin[order], size[order], doc[order], nth[order]
+    first = nth == 0
     live = total - np.searchsorted(size[::-1], np.arange(block), "right")  # blocks that have a step's word: a leading part
     # each block as a map of the message before it: rows are basis vectors
     if blocks.max() > 1:
@@ -148,6 +151,8 @@ def posteriors(emission: np.ndarray, transition: np.ndarray, lengths: np.ndarray
             if not (m := int(live[i])):
                 break
             step = (through[:m].reshape(-1, labels) @ t).reshape(m, labels, labels) * e[begin[:m] + i][:, None, :]
+            if not i:  # nothing comes before a text's first word
+                step[first[:m]] = e[begin[:m][first[:m]]][:, None, :]
             through[:m] = step / step.sum(axis=(1, 2), keepdims=True)
     place = np.empty(total, np.int64)
     place[order] = np.arange(total)  # of the blocks in text order
@@ -166,16 +171,29 @@ def posteriors(emission: np.ndarray, transition: np.ndarray, lengths: np.ndarray
     for i in range(block):
         if not (m := int(live[i])):
             break
-        now = _scaled((now[:m] @ t) * e[begin[:m] + i])
+        now = now[:m] @ t
+        if not i:
+            now[first[:m]] = 1
+        now = _scaled(now * e[begin[:m] + i])
         forward[begin[:m] + i] = now
     out = np.empty_like(e)
+    after = np.empty_like(e) if pairs else None  # each word's label scores of itself and what follows
     now = behind
     for i in range(block - 1, -1, -1):
         if not (m := int(live[i])):
             continue
         out[begin[:m] + i] = _scaled(forward[begin[:m] + i] * now[:m])
-        now[:m] = _scaled((now[:m] * e[begin[:m] + i]) @ t.T)
-    return out
+        rest = now[:m] * e[begin[:m] + i]
+        if pairs:
+            after[begin[:m] + i] = rest
+        now[:m] = _scaled(rest @ t.T)
+    if not pairs:
+        return out
+    inner = np.ones(len(e), bool)
+    inner[(np.cumsum(lengths) - lengths)[lengths > 0]] = False
+    here = np.flatnonzero(inner)
+    left, right = forward[here - 1], after[here]
+    return out, t * (left.T @ (right / ((left @ t) * right).sum(axis=1, keepdims=True)))
 
 
 @dataclass
@@ -234,20 +252,29 @@ class LanguageModel:
         return [self.languages[k] if s else UNDETERMINED for k, s in zip(best.tolist(), sure.tolist(), strict=True)], np.clip(score, 0.0, 1.0)
 
 
+def stretches_of(text: str, rnd: np.random.Generator, stretches: int = STRETCHES, stretch: int = STRETCH) -> list[list[str]]:
+    """Runs of `stretch` words at random places of the text, as lower-cased letters; words without a letter are left out. A text
+    that is not longer gives all its words, once."""
+    words = [x for w in words_of(text) if (x := "".join(filter(str.isalpha, w.lower()))[:WIDEST])]
+    starts = sorted(set(rnd.integers(0, max(1, len(words) - stretch + 1), stretches).tolist()))
+    return [part for at in starts if (part := words[at : at + stretch])]
+
+
 def train(texts: list[str], langs: list[str], rounds: int = 40, rate: float = 0.3, seed: int = 5) -> LanguageModel:
-    """Maximum likelihood of the random field by Adagrad on whole-set gradients.
+    """train_stretches on stretches of the texts."""
+    rnd = np.random.default_rng(seed)
+    return train_stretches([(part, lang) for text, lang in zip(texts, langs, strict=True) for part in stretches_of(text, rnd)], rounds, rate, seed)
+
+
+def train_stretches(drawn: list[tuple[list[str], str]], rounds: int = 40, rate: float = 0.3, seed: int = 5) -> LanguageModel:
+    """Maximum likelihood of the random field by Adagrad on whole-set gradients, from stretches of words and their languages.
 
-    Stretches of words are drawn from every text and joined, a few of different texts at a time, into code-switched sequences,
-    so transitions are learned from switches as well as from runs of one language."""
+    A few stretches of different texts at a time are joined into code-switched sequences, so transitions are learned from
+    switches as well as from runs of one language. Expected transitions are the pairwise marginals of forward-backward."""
     rnd = np.random.default_rng(seed)
-    languages = sorted(set(langs))
+    languages = sorted({lang for _, lang in drawn})
     number = {lang: i for i, lang in enumerate(languages)}
-    stretches: list[tuple[list[str], int]] = []
-    for text, lang in zip(texts, langs, strict=True):
-        words = [w for w in words_of(text) if _LETTER.search(w)]
-        for start in sorted({0, *rnd.integers(0, max(1, len(words) - STRETCH + 1), STRETCHES - 1).tolist()}):
-            if part := words[start : start + STRETCH]:
-                stretches.append((part, number[lang]))
+    stretches = [(part, number[lang]) for part, lang in drawn]
     k = len(languages)
     if not stretches:
         return LanguageModel([], np.zeros((SLOTS, 0)), np.zeros((0, 0)), np.empty(0, np.uint64))
@@ -276,14 +303,10 @@ def train(texts: list[str], langs: list[str], rounds: int = 40, rate: float = 0.
     for _ in range(rounds):
         table = _sums(weights, slots, counts)
         by_word, pairs = np.zeros((len(kinds), k)), np.zeros((k, k))
-        t = np.exp(transition - transition.max())
         for x, y in zip(cuts, cuts[1:], strict=False):
             a, b = ends[x], ends[y]
-            probs = posteriors(table[inverse[a:b]], transition, lengths[x:y])
-            # expected switches, from neighbouring words' probabilities under the transitions
-            here = np.flatnonzero(inner[a:b])
-            left, right = probs[here - 1], probs[here]
-            pairs += t * (left.T @ (right / ((left @ t) * right).sum(axis=1, keepdims=True)))
+            probs, both = posteriors(table[inverse[a:b]], transition, lengths[x:y], pairs=True)
+            pairs += both
             probs[np.arange(b - a), truth[a:b]] -= 1
             for c in range(k):
                 by_word[:, c] += np.bincount(inverse[a:b], probs[:, c], len(kinds))
@@ -298,22 +321,30 @@ def train(texts: list[str], langs: list[str], rounds: int = 40, rate: float = 0.
     return LanguageModel(languages, weights.astype(np.float32), transition, lexicon)
 
 
-def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_DOCS) -> LanguageModel:
+def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_DOCS, total: int = TRAIN_TOTAL, stretches: int = STRETCHES, stretch: int = STRETCH) -> LanguageModel:
     """A model of the documents with a language whose crc32(id as text) mod 3 is not 1.
 
-    Every language is learned. About per_language documents of each, or where there are more than TRAIN_TOTAL / per_language
-    languages an equal share of TRAIN_TOTAL, are drawn by a hash of the id, the least hash of each language always; their whole
-    texts come to the driver, the one bounded sample here."""
+    Every language is learned. About per_language documents of each, or where there are more than total / per_language
+    languages an equal share of total, are drawn by a hash of the id, the least hash of each language always. Of each drawn
+    document the executor that reads it takes `stretches` runs of `stretch` words at random places; these alone come to the
+    driver. This is the one bounded sample here. No usable row gives a model without languages."""
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & (crc_mod(id_col, 3) != 1))
     hashed = F.pmod(F.xxhash64(id_col, F.lit(3)), F.lit(1 << 20))
     counts = usable.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n"), F.min(hashed).alias("least")).collect()
-    each = min(per_language, max(1, TRAIN_TOTAL // max(1, len(counts))))
+    each = min(per_language, max(1, total // max(1, len(counts))))
     share = {r.lang: max(r.least + 1.0, min(1.0, each / r.n) * (1 << 20)) for r in counts}
     bounds = usable.sparkSession.createDataFrame(list(share.items()), "_lang string, _share double")
     drawn = usable.join(F.broadcast(bounds), F.col(lang_col).cast("string") == F.col("_lang")).where(hashed < F.col("_share"))
-    rows = drawn.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col("_lang").alias("lang")).collect()
-    rows.sort(key=lambda r: (r.id, r.text))
-    return train([r.text for r in rows], [r.lang for r in rows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, 256):
+            parts = [(i, part, lang) for i, text, lang in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True) for part in stretches_of(text, np.random.default_rng(zlib.crc32(i.encode())), stretches, stretch)]
+            ids, words, langs = zip(*parts, strict=True) if parts else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(words, pa.list_(pa.string())), pa.array(langs, pa.string())], ["id", "words", "lang"])
+
+    picked = drawn.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col("_lang").alias("lang"))
+    rows = picked.mapInArrow(run, "id string, words array<string>, lang string").collect()
+    return train_stretches([(r.words, r.lang) for r in sorted(rows, key=lambda r: (r.id, r.lang, r.words))])
 
 
 def identify_languages(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,7 +365,10 @@ def identify_languages(df: DataFrame, model: LanguageModel, id_col: str = "doc_i
 
 
 def word_languages(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id, words (array<string>) and langs (array<string>): each word's likeliest language, null for words without letters."""
+    """The id, words (array<string>) and langs (array<string>): each word's likeliest language, null for words without letters.
+
+    Defined results: null and empty texts have empty arrays; ids may be null or repeat; an empty table gives no rows; other
+    columns are ignored; a model of no language labels no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 256):
@@ -350,7 +384,10 @@ def word_languages(df: DataFrame, model: LanguageModel, id_col: str = "doc_id",
 
 
 def keep_identified(df: DataFrame, model: LanguageModel, least: float, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose language is determined with a score of `least` or more. No row is shuffled."""
+    """The rows, with all their columns, whose language is determined with a score of `least` or more. No row is shuffled.
+
+    Defined results: null texts and texts without a letter go, as does every row under a model of no language; ids may be null
+    or repeat, and repeated rows have the same fate; an empty table stays empty; other columns are kept, whatever their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 256):
