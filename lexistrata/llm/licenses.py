@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -76,14 +78,14 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 
 _TOKEN = regex.compile(r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*")
-_OWNER = regex.compile(r"(?i)^\W*(copyright|\(c\)|©).*\d{4}.*$")
-_HINT = regex.compile(r"(?i)licen[sc]e|permission|redistribut|copyright|warrant|public domain")
-_SENTENCE = regex.compile(r"(?<=[.!?])[\x20\t]+")
+_OWNER = regex.compile(r"(?im)^[^\w\n]*(?:copyright|\(c\)|©).*\d{4}.*$")
+#: Begins of windows that are extended together.
+BLOCK = 4096
 
 
 def words_of(text: str) -> list[str]:
     """Lower-cased words; dots and hyphens inside a word belong to it, so versions and short names stay whole."""
-    return _TOKEN.findall(text.lower())
+    return "\n".join(_TOKEN.findall(text)).lower().split("\n") if _TOKEN.search(text) else []
 
 
 def bigrams(words: list[str]) -> Counter:
@@ -96,76 +98,105 @@ def dice(a: Counter, b: Counter) -> float:
     return 2 * (a & b).total() / total if total else 0.0
 
 
+class Template:
+    """A template's bigrams by number, and how often it has each."""
+
+    def __init__(self, name: str, counts: Counter, ratio: float):
+        self.name, self.size = name, counts.total()
+        #: Size bounds: a window of m bigrams reaches the threshold only with `least` common ones or more, and m `most` at most.
+        self.least, self.most = math.ceil(self.size * ratio - 1e-9), int(self.size / ratio + 1e-9)
+        self.own = {b: i for i, b in enumerate(counts)}
+        self.counts = np.array([*counts.values(), 0], np.int32)  # the last stands for bigrams of other templates or none
+
+
 class Scanner:
-    """Templates by their number of bigrams. A unit of n bigrams can reach the threshold t with those of n t/(2-t) to n (2-t)/t
-    bigrams alone; only these are compared."""
+    """Finds where a text holds a licence: windows of its words whose bigrams reach the threshold with a template's.
+
+    With the threshold t, a window that reaches it has n t / (2 - t) of the template's n bigrams at least and n (2 - t) / t bigrams
+    at most. So windows are looked for only where that many of the template's bigrams lie that close together; ordinary text
+    costs a look-up for each pair of words."""
 
     def __init__(self, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD):
         self.threshold = threshold
-        self.ratio = threshold / (2 - threshold)
-        rows = sorted(((c := bigrams(words_of(text))).total(), name, c) for name, text in templates if words_of(text)) if templates else []
-        self.sizes = [r[0] for r in rows]
-        self.rows = rows
-        self.most = self.sizes[-1] / self.ratio if rows else 0
-
-    def best(self, words: list[str]) -> tuple[str, float] | None:
-        """Licence and coefficient of the most similar template that reaches the threshold; ties go to the first name."""
-        n = len(words) - 1 if len(words) > 1 else len(words)
-        if not n or n > self.most:
-            return None
-        some = self.rows[bisect_left(self.sizes, n * self.ratio - 1e-9) : bisect_right(self.sizes, n / self.ratio + 1e-9)]
-        if not some:
-            return None
-        own = bigrams(words)
-        found = min(((-dice(own, c), name) for _, name, c in some), default=(0.0, ""))
-        return (found[1], -found[0]) if -found[0] >= self.threshold else None
-
-    def units(self, text: str) -> Iterator[tuple[int, int, list[str]]]:
-        """(begin, end, words) of the whole text, its paragraphs of several lines, its lines, and the sentences of lines that
-        speak of a licence. Lines that only name an owner and year count as blank for what is around them."""
-        lines, at = [], 0
-        for line in text.split("\n"):
-            lines.append((at, at + len(line), [] if _OWNER.match(line) else words_of(line)))
-            at += len(line) + 1
-        yield 0, len(text), [w for x in lines for w in x[2]] if sum(len(x[2]) for x in lines) <= self.most + 1 else []
-        run: list[tuple[int, int, list[str]]] = []
-        for x in [*lines, (0, 0, [])]:
-            if x[2]:
-                run.append(x)
-                continue
-            if 1 < len(run) < len(lines) and sum(len(y[2]) for y in run) <= self.most + 1:
-                yield run[0][0], run[-1][1], [w for y in run for w in y[2]]
-            run = []
-        for a, b, words in lines:
-            if len(lines) > 1:
-                yield a, b, words
-            line = text[a:b]
-            if words and _HINT.search(line):
-                cuts = [a, *[a + m.end() for m in _SENTENCE.finditer(line)], b]
-                for c, d in zip(cuts, cuts[1:], strict=False):
-                    if (c, d) != (a, b):
-                        yield c, d, words_of(text[c:d])
+        counted = [(name, bigrams(words)) for name, text in templates if (words := words_of(text))]
+        self.templates = [Template(name, c, threshold / (2 - threshold)) for name, c in counted]
+        self.words = {w: i for i, w in enumerate(dict.fromkeys(w for _, c in counted for b in c for w in b if w), 1)}
+        pairs = {b: i for i, b in enumerate(dict.fromkeys(b for _, c in counted for b in c if b[1]))}
+        self.singles = {b[0] for _, c in counted for b in c if not b[1]}
+        self.width = len(self.words) + 1
+        codes = np.array([self.words[x] * self.width + self.words[y] for x, y in pairs], np.int64)
+        order = np.argsort(codes)
+        self.codes, self.numbers = codes[order], np.arange(len(pairs))[order]
+        # numbers of bigrams to each template's own numbers
+        self.local = np.array([[t.own.get(b, len(t.own)) for b in pairs] + [len(t.own)] for t in self.templates], np.int32).reshape(len(self.templates), len(pairs) + 1)
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """The number of each pair of neighbouring words; what no template has is the last number."""
+        ids = np.fromiter((get(w, 0) for get in (self.words.get,) for w in words), np.int64, len(words))
+        codes = ids[:-1] * self.width + ids[1:]
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, self.numbers[at], len(self.codes))
+
+    def _windows(self, t: Template, local: np.ndarray) -> Iterator[tuple[float, int, int]]:
+        """(coefficient, first bigram, bigrams) of each begin's best window that reaches the threshold, the longest of equals. Only
+        begins and ends at the template's bigrams count: without another one at its end a window is better."""
+        hits = np.flatnonzero(local < len(t.own))
+        if len(hits) < t.least:
+            return
+        near = hits[t.least - 1 :] - hits[: len(hits) - t.least + 1] < t.most
+        begins = hits[: len(near)][near]
+        for at in range(0, len(begins), BLOCK):
+            some = begins[at : at + BLOCK]
+            rows = np.arange(len(some))
+            seen = np.zeros((len(some), len(t.counts)), np.int32)
+            common, best, size = np.zeros(len(some), np.int64), np.zeros(len(some)), np.zeros(len(some), np.int64)
+            for m in range(min(t.most, len(local) - int(some[0]))):
+                place = some + m
+                b = np.where(place < len(local), local[np.minimum(place, len(local) - 1)], len(t.own))
+                seen[rows, b] += 1
+                common += seen[rows, b] <= t.counts[b]
+                score = 2 * common / (m + 1 + t.size)
+                better = (score >= best) & (b < len(t.own))
+                best[better], size[better] = score[better], m + 1
+            good = best >= self.threshold
+            yield from zip(best[good].tolist(), some[good].tolist(), size[good].tolist(), strict=True)
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(licence, coefficient, begin, end) of every unit that matches and holds or lies in no better one, in text order."""
-        hits = [(a, b, *found) for a, b, words in self.units(text) if (found := self.best(words))]
-        hits.sort(key=lambda h: (-h[3], h[0] - h[1], h[0]))
-        kept: list[tuple[int, int, str, float]] = []
-        for h in hits:
-            if all(h[1] <= k[0] or k[1] <= h[0] for k in kept):
-                kept.append(h)
-        return [(name, score, a, b) for a, b, name, score in sorted(kept)]
+        """(licence, coefficient, begin, end) of the matches in text order: of windows that overlap the one with the higher
+        coefficient, then the longer, the earlier, the first name. Lines that only name an owner and year are left out."""
+        if _OWNER.search(text):
+            text = _OWNER.sub(lambda m: " " * len(m.group()), text)
+        words = words_of(text)
+        hits: list[tuple[float, int, int, str]] = []  # -coefficient, -words, first word, licence
+        if len(words) > 1 and len(self.codes):
+            numbers = self._numbers(words)
+            if (numbers < len(self.codes)).any():
+                for t, local in zip(self.templates, self.local, strict=True):
+                    hits += [(-score, -m - 1, at, t.name) for score, at, m in self._windows(t, local[numbers])]
+        if self.singles and self.singles.intersection(words):
+            hits += [(-1.0, -1, i, t.name) for t in self.templates for i, w in enumerate(words) if (w, "") in t.own]
+        if not hits:
+            return []
+        begins, ends, kept = [], [], []  # of the matches so far, which are apart
+        for score, n, at, name in sorted(hits):
+            i = bisect_left(begins, at)
+            if (i == 0 or ends[i - 1] <= at) and (i == len(begins) or at - n <= begins[i]):
+                begins.insert(i, at)
+                ends.insert(i, at - n)
+                kept.insert(i, (name, -score))
+        places = [m.span() for m in _TOKEN.finditer(text)]
+        return [(name, score, places[a][0], places[b - 1][1]) for (name, score), a, b in zip(kept, begins, ends, strict=True)]
 
 
 def scan_licenses(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and matches (array of license, dice, start, end in code points) of every row.
 
-    Whole texts, paragraphs, lines and sentences are compared with the templates whose size can reach the threshold. Nothing is
-    shuffled; templates travel with the task.
+    A licence is found wherever it lies in the text: windows of words are compared with the templates, where size bounds allow
+    a match (Scanner). Nothing is shuffled; templates travel with the task, and memory follows the longest text.
 
     Defined results: null and empty texts, and texts without a match, have an empty array; overlapping matches give the one
-    with the higher coefficient, then the longer; ids may be null or repeat; an empty table gives no rows; other columns are
-    ignored."""
+    with the higher coefficient, then the longer, the earlier, the first name; no templates find nothing; ids may be null or
+    repeat; an empty table gives no rows; other columns are ignored."""
     kind = df.schema[id_col].dataType.simpleString()
     fields = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
 
