@@ -40,7 +40,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays: the one with the smallest id."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays: the one with the smallest id.
+
+    Candidates are the SimHash operator's links and, beyond what its 3 bits reach, those of minhash bands; README has the figures."""
     kept = near_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_doc_id"))
     return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_kept_doc_id")), "left_semi")
 
@@ -54,7 +56,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("quality classifier", keep_good),
     ("language id", keep_known_language),
     ("exact dedup", drop_exact_copies),
-    ("near dedup", drop_near_copies),
+    ("simhash near-dedup", drop_near_copies),
     ("best-fit packing", pack_documents),
 ]
 

@@ -21,14 +21,14 @@ MAX_DISTANCE = 3
 DIRECT = 2048
 
 
-def _lowered_words(text: str) -> list[bytes]:
+def lowered_words(text: str) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased, in UTF-8: what bytes.lower() and bytes.split() do."""
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
 def fingerprint(text: str, shingle: int = 3, seed: int = 42, block: int = 65_536) -> int:
     """The text's SimHash. Shingles are counted in blocks, so memory beyond the words themselves does not follow the length."""
-    words = _lowered_words(text)
+    words = lowered_words(text)
     if not words:
         return 0
     digest = xxhash.xxh64_intdigest
@@ -189,7 +189,7 @@ def _sub_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _edge_batch(*solve(keys1[0], subs[0], held), False)
 
 
-def _edges(fps: DataFrame) -> DataFrame:
+def fingerprint_edges(fps: DataFrame) -> DataFrame:
     """Distinct fingerprints (fp) to edges (a, b) that connect exactly those linked, directly or in steps."""
     wild = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(2 * SEGMENT - 1))).alias("w"))
     part = F.expr(f"shiftrightunsigned(fp, cast(w div {SEGMENT} as int) * {SEGMENT}) & 4294967295L")
@@ -222,13 +222,14 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     edges in rounds; nothing but counts reaches the driver.
 
     Defined results: null and word-free texts have fingerprint zero and link like any other; fewer words than a shingle hash
-    as a whole; null ids are kept and never name a component unless no other id is there; repeated rows give repeated rows;
-    an empty table gives no rows; other columns are ignored.
+    as a whole; ids must be whole numbers, and text that is none counts as a null id; null ids are kept and never name a
+    component unless no other id is there; repeated rows give repeated rows; an empty table gives no rows; other columns are
+    ignored.
     """
-    picked = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    picked = df.select(F.col(id_col).try_cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     docs = durable(picked.mapInArrow(_fingerprints(shingle, seed), "_id long, fp long"), "simhash-fp")
     fps = durable(docs.groupBy("fp").agg(F.min("_id").alias("first")), "simhash-distinct")
-    roots = connected_components(_edges(fps.select("fp")))
+    roots = connected_components(fingerprint_edges(fps.select("fp")))
     rooted = fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = rooted.join(least, "root").select("fp", "component_id")

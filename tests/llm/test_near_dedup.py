@@ -1,6 +1,7 @@
 import numpy as np
 
 from corpus_pipeline import drop_near_copies
+from lexistrata.llm import near_dedup
 from lexistrata.llm.near_dedup import band_keys, link_classes, near_components, shingles
 
 
@@ -55,6 +56,23 @@ def test_edges(spark):
     assert near_components(df.limit(0)).collect() == []
 
 
+def test_large_groups_go_through_rounds(spark, monkeypatch):
+    """A third of all texts near copies of one, and graded versions around the threshold: pivots, parts and rounds lose nothing."""
+    monkeypatch.setattr(near_dedup, "PART", 16)
+    monkeypatch.setattr(near_dedup, "SMALL", 1 << 15)
+    rnd = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(60):
+        changed = set(rnd.choice(120, rnd.integers(0, 4), replace=False).tolist())
+        texts.append(" ".join(f"x{k}y{i}" if i in changed else w for i, w in enumerate(words)))
+    texts += [" ".join(words[: 120 - 3 * k] + [f"z{k}u{i}" for i in range(3 * k)]) for k in range(12)]
+    texts += chain(100, 12) + [" ".join(rnd.choice(words, 60)) for _ in range(20)]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.component_id for r in near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_components(rows)
+
+
 def test_bands_meet_at_the_similarity():
     """Pairs of similarity 0.8: 40 bands of 7 lose one in ten thousand."""
     rnd = np.random.default_rng(1)

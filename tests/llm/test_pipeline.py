@@ -7,7 +7,7 @@ import corpus_pipeline
 from corpus_pipeline import LEAST_LANGUAGE_SCORE, STAGES, run
 from lexistrata.llm.langid import train_languages
 from lexistrata.llm.quality import train_quality
-from tests.llm.test_simhash import classes, plain_fingerprint
+from tests.llm.test_near_dedup import plain_components
 
 D = "/root/testdata/sf0.001"
 
@@ -39,11 +39,7 @@ def test_stages_against_plain_versions(spark, tmp_path):
                 best[key] = min(best.get(key, (1, 0)), (-len(t), i))
             assert kept == {i for _, i in best.values()}
         elif k == 3:
-            ids = sorted(rows)
-            root, least = classes([plain_fingerprint(rows[i]) for i in ids]), {}
-            for i, r in zip(ids, root, strict=True):
-                least.setdefault(r, i)
-            assert kept == set(least.values())
+            assert kept == set(plain_components(sorted(rows.items())).values())
         else:
             tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
             sizes = {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows.items()}

@@ -7,7 +7,7 @@ import xxhash
 
 from lexistrata.llm import simhash
 from lexistrata.llm.components import connected_components
-from lexistrata.llm.simhash import _edges, fingerprint, simhash_components
+from lexistrata.llm.simhash import fingerprint, fingerprint_edges, simhash_components
 
 
 def plain_fingerprint(text):
@@ -73,7 +73,7 @@ def test_large_buckets_stay_exact(spark, seed):
     base = rnd.getrandbits(64)
     few = {base ^ (rnd.getrandbits(32) & rnd.getrandbits(32) & rnd.getrandbits(32) if rnd.random() < 0.5 else rnd.getrandbits(12) << 9) for _ in range(2600)}
     fps = np.array(sorted(few), np.uint64).view(np.int64).tolist()
-    edges = _edges(spark.createDataFrame([(f,) for f in fps], "fp long"))
+    edges = fingerprint_edges(spark.createDataFrame([(f,) for f in fps], "fp long"))
     roots = {r.node: r.root for r in connected_components(edges).collect()}
     want = classes([f & (1 << 64) - 1 for f in fps])
     groups = {}
