@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,8 +16,9 @@ from lexistrata.llm.common import crc_mod, small_batches, texts_of
 FILTERS, WIDTH = 16, 5
 #: A chunk's positions, and how far the next one begins: chunks overlap and the last ends with the text.
 CHUNK, STEP = 512, 448
-#: Labelled documents that training draws at most (by a hash of the id), and chunks of each that it looks at.
-TRAIN_DOCS, TRAIN_CHUNKS = 3000, 6
+#: Labelled documents that training draws at most (about, by a hash of the id), and chunks of each: texts of up to some 14 KB are
+#: whole, of longer ones so many chunks are drawn. What reaches the driver is TRAIN_DOCS x TRAIN_CHUNKS x 516 bytes, 50 MB, at most.
+TRAIN_DOCS, TRAIN_CHUNKS = 3000, 32
 #: A predicted label is 1 from this score on.
 THRESHOLD = 0.3
 _BLOCK = 1 << 15
@@ -74,8 +76,54 @@ def chunk_starts(places: int) -> np.ndarray:
     return starts if starts[-1] + CHUNK >= places else np.append(starts, places - CHUNK)
 
 
+def training_chunks(text: str, rnd: np.random.Generator, limit: int = TRAIN_CHUNKS) -> list[bytes]:
+    """The text's chunks, each with the WIDTH - 1 bytes after it; of more than `limit`, as many drawn at random."""
+    data = text.encode("utf-8", "surrogatepass")
+    data = data + bytes(WIDTH - 1) if data else bytes(WIDTH)
+    starts = chunk_starts(len(data) - WIDTH + 1)
+    if len(starts) > limit:
+        starts = np.sort(rnd.choice(starts, limit, replace=False))
+    return [data[s : s + CHUNK + WIDTH - 1] for s in starts.tolist()]
+
+
+def gradients(net: QualityNet, docs: list[list[np.ndarray]], labels: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The mean logistic loss over documents, each a list of its chunks' bytes, and its derivatives by taps, bias, weights, offset."""
+    cols = np.arange(FILTERS)
+    x, where = [], []  # features; bytes under each chunk's maximal places
+    for chunks in docs:
+        peaks, tops = [], []
+        for data in chunks:
+            values = net.activations(data)
+            top = values.argmax(axis=0)
+            peaks.append(values[top, cols])
+            tops.append(data[top[:, None] + np.arange(WIDTH)])
+        x.append(np.array(peaks) + net.bias)
+        where.append(np.array(tops))
+    active = [np.maximum(p, 0) for p in x]
+    feats = np.array([np.concatenate([p.mean(axis=0), p.max(axis=0)]) for p in active])
+    z = feats @ net.weights + net.offset
+    loss = float(np.mean(np.logaddexp(0, z) - labels * z))
+    miss = (1 / (1 + np.exp(-z)) - labels) / len(docs)
+    grads = [np.zeros_like(net.taps), np.zeros_like(net.bias), feats.T @ miss, np.array([miss.sum()])]
+    for i, p in enumerate(active):
+        g = np.repeat((miss[i] * net.weights[:FILTERS] / len(p))[None], len(p), axis=0)
+        g[p.argmax(axis=0), cols] += miss[i] * net.weights[FILTERS:]
+        g *= p > 0
+        grads[1] += g.sum(axis=0)
+        for w in range(WIDTH):
+            np.add.at(grads[0][w], (where[i][:, :, w], cols[None]), g)
+    return loss, grads
+
+
 def train(texts: list[str], labels: np.ndarray, epochs: int = 14, batch: int = 64, rate: float = 0.01, seed: int = 7) -> QualityNet:
-    """Adam on the logistic loss; gradients reach each chunk's maximal place. With one class only, a constant that follows it."""
+    """train_chunks on the texts' chunks."""
+    rnd = np.random.default_rng(seed)
+    return train_chunks([training_chunks(t, rnd) for t in texts], labels, epochs, batch, rate, seed)
+
+
+def train_chunks(chunks: list[list[bytes]], labels: np.ndarray, epochs: int = 14, batch: int = 64, rate: float = 0.01, seed: int = 7) -> QualityNet:
+    """Adam on the logistic loss, from each document's chunks; gradients reach each chunk's maximal place. With one class only, a
+    constant that follows it."""
     rnd = np.random.default_rng(seed)
     net = QualityNet((rnd.standard_normal((WIDTH, 256, FILTERS)) * 0.1).astype(np.float32), np.zeros(FILTERS, np.float32), rnd.standard_normal(2 * FILTERS).astype(np.float32) * 0.1, 0.0)
     labels = np.asarray(labels, np.float64)
@@ -84,14 +132,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 14, batch: int = 6
     if len(set(labels.tolist())) < 2:
         net.weights[:] = 0
         return net
-    docs = []  # (chunks, CHUNK + WIDTH - 1) bytes of each document, and which places are real
-    for t in texts:
-        data = np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)
-        data = np.concatenate([data, np.zeros(WIDTH - 1, np.uint8)]) if len(data) else np.zeros(WIDTH, np.uint8)
-        starts = chunk_starts(len(data) - WIDTH + 1)
-        if len(starts) > TRAIN_CHUNKS:
-            starts = np.sort(rnd.choice(starts, TRAIN_CHUNKS, replace=False))
-        docs.append((data, starts))
+    docs = [[np.frombuffer(c, np.uint8) for c in some] for some in chunks]
     params = [net.taps, net.bias, net.weights, np.array([net.offset], np.float64)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
@@ -99,31 +140,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 14, batch: int = 6
         order = rnd.permutation(len(docs))
         for at in range(0, len(order), batch):
             some = order[at : at + batch]
-            x, where = [], []  # features; bytes under each chunk's maximal places
-            for d in some.tolist():
-                data, starts = docs[d]
-                peaks, tops = [], []
-                for s in starts.tolist():
-                    end = min(s + CHUNK, len(data) - WIDTH + 1)
-                    values = net.activations(data[s : end + WIDTH - 1])
-                    top = values.argmax(axis=0)
-                    peaks.append(values[top, np.arange(FILTERS)])
-                    tops.append(data[s + top[:, None] + np.arange(WIDTH)])
-                x.append(np.array(peaks) + params[1])
-                where.append(np.array(tops))
-            active = [np.maximum(p, 0) for p in x]
-            feats = np.array([np.concatenate([p.mean(axis=0), p.max(axis=0)]) for p in active])
-            z = feats @ params[2] + params[3][0]
-            miss = (1 / (1 + np.exp(-z)) - labels[some]) / len(some)
-            grads = [np.zeros_like(params[0]), np.zeros_like(params[1]), feats.T @ miss, np.array([miss.sum()])]
-            cols = np.arange(FILTERS)
-            for i, p in enumerate(active):
-                g = np.repeat((miss[i] * params[2][:FILTERS] / len(p))[None], len(p), axis=0)
-                g[p.argmax(axis=0), cols] += miss[i] * params[2][FILTERS:]
-                g *= p > 0
-                grads[1] += g.sum(axis=0)
-                for w in range(WIDTH):
-                    np.add.at(grads[0][w], (where[i][:, :, w], cols[None]), g)
+            net.offset = float(params[3][0])
+            _, grads = gradients(net, [docs[d] for d in some.tolist()], labels[some])
             grads[0] += 1e-5 * params[0]
             grads[2] = grads[2] + 1e-4 * params[2]
             step += 1
@@ -135,12 +153,15 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 14, batch: int = 6
     return QualityNet(params[0], params[1], params[2], float(params[3][0]))
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", limit: int = TRAIN_DOCS) -> QualityNet:
+def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", limit: int = TRAIN_DOCS, chunks: int = TRAIN_CHUNKS) -> QualityNet:
     """A network fitted on labelled documents whose crc32(id as text) mod 5 is not 0.
 
     About `limit` documents, a share by hash of each label's, are drawn: half the places go to the rarer label as far as it has
-    rows, and the loss sees the drawn shares undone by weights on the offset. Their whole texts come to the driver; that is the
-    one bounded sample here. Null labels, ids and repeated ids beyond the first label are left out."""
+    rows, and the drawn shares are undone by the offset. The executor that reads a drawn document cuts it into chunks, `chunks`
+    at most; these alone come to the driver. That is the one bounded sample here.
+
+    Defined results: null labels and ids take no part; of several labels of an id the least counts; rows that repeat an id are
+    all taken; null texts are empty; without two labels the network is a constant."""
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(id_col, 5) != 0))
     usable = usable.groupBy(F.col(id_col).alias("_id")).agg(F.min(F.when(F.col(label_col) > 0, 1).otherwise(0)).alias("_y"))
     counts = {r._y: r.n for r in usable.groupBy("_y").agg(F.count("*").alias("n")).collect()}
@@ -148,9 +169,16 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     hashed = F.pmod(F.xxhash64("_id"), F.lit(1 << 20))
     drawn = usable.where(hashed < F.when(F.col("_y") == 1, share.get(1, 0.0) * (1 << 20)).otherwise(share.get(0, 0.0) * (1 << 20)))
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    rows = picked.join(F.broadcast(drawn.limit(2 * limit)), "_id").select("_id", "_text", "_y").collect()  # at most 2 x limit ids
-    rows.sort(key=lambda r: (r._id, r._text or ""))
-    net = train([r._text or "" for r in rows], np.array([r._y for r in rows], np.float64))
+    joined = picked.join(F.broadcast(drawn.limit(2 * limit)), "_id")  # at most 2 x limit ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches):
+            made = [training_chunks(t, np.random.default_rng(zlib.crc32(i.encode())), chunks) for i, t in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.binary())), b.column(2)], ["id", "chunks", "y"])
+
+    cut = joined.select(F.col("_id").cast("string").alias("id"), "_text", "_y").mapInArrow(run, "id string, chunks array<binary>, y int")
+    rows = sorted(cut.collect(), key=lambda r: (r.id, r.chunks))
+    net = train_chunks([[bytes(c) for c in r.chunks] for r in rows], np.array([r.y for r in rows], np.float64))
     if len(share) == 2:  # the odds as they are, not as they were drawn
         net.offset += float(np.log(share[0] / share[1]))
     return net
@@ -174,7 +202,10 @@ def score_quality(df: DataFrame, net: QualityNet, id_col: str = "doc_id", text_c
 
 
 def keep_quality(df: DataFrame, net: QualityNet, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows, with all their columns, that the network predicts as 1. Rows stay in their tasks; none is shuffled."""
+    """The rows, with all their columns, that the network predicts as 1. Rows stay in their tasks; none is shuffled.
+
+    Defined results: null and empty texts are scored as one empty chunk; ids may be null or repeat, and repeated rows have the
+    same fate; an empty table stays empty; other columns are kept, whatever their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):

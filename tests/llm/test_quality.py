@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lexistrata.llm import quality
-from lexistrata.llm.quality import CHUNK, FILTERS, WIDTH, QualityNet, chunk_starts, keep_quality, score_quality, train, train_quality
+from lexistrata.llm.quality import CHUNK, FILTERS, WIDTH, QualityNet, chunk_starts, gradients, keep_quality, score_quality, train, train_quality, training_chunks
 from lexistrata.llm.queries import op9_quality
 
 D = "/root/testdata/sf0.01"
@@ -43,6 +43,32 @@ def test_scores_equal_plain_loops(net, monkeypatch):
         assert net.scores([text])[0] == pytest.approx(plain_score(net, text), abs=1e-4)
 
 
+def test_gradients_by_finite_differences():
+    rnd = np.random.default_rng(3)
+    net = QualityNet(rnd.standard_normal((WIDTH, 256, FILTERS)), rnd.standard_normal(FILTERS), rnd.standard_normal(2 * FILTERS), 0.3)
+    docs = [[np.frombuffer(c, np.uint8) for c in training_chunks(t, rnd)] for t in ("ab" * 400, "", "some text " * 90, "\xe9" * 30)]
+    labels = np.array([1.0, 0.0, 1.0, 0.0])
+    _, grads = gradients(net, docs, labels)
+    step = 1e-6
+    for x, g in ((net.taps, grads[0]), (net.bias, grads[1]), (net.weights, grads[2])):
+        busy = np.argwhere(np.abs(g) > 1e-4)
+        for i in map(tuple, [*busy[:: max(1, len(busy) // 15)].tolist(), [0] * x.ndim]):
+            x[i] += step
+            up = gradients(net, docs, labels)[0]
+            x[i] -= 2 * step
+            down = gradients(net, docs, labels)[0]
+            x[i] += step
+            assert abs((up - down) / (2 * step) - g[i]) < 1e-5
+
+
+def test_chunks_for_training_are_those_scored():
+    text = "abc " * 1000
+    some = training_chunks(text, np.random.default_rng(0))
+    data = text.encode() + bytes(WIDTH - 1)
+    assert some == [data[s : s + CHUNK + WIDTH - 1] for s in chunk_starts(len(text)).tolist()]
+    assert len(training_chunks(text, np.random.default_rng(0), 4)) == 4 and training_chunks("", np.random.default_rng(0)) == [bytes(WIDTH)]
+
+
 def test_held_out_accuracy(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{D}/labels.parquet").collect()}
     out = op9_quality(spark, D).collect()
