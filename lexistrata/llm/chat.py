@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexistrata.llm.common import small_batches
+
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
@@ -123,7 +125,8 @@ def format_turns(df: DataFrame, template: Template = turn_template, loss_roles:
     output), text_start and text_end (the text's place in it, in code points), in_loss (the text is trained on).
 
     Conversations stay together in partitions sorted by (conversation, turn, role, text), and stream through the task one turn
-    at a time: what a task holds is one batch and the turns of one conversation. Rows of one conversation come out together and in order.
+    at a time: what a task holds is one batch and the turns of one conversation, which is the one unit that is not split: each
+    prefix is rendered from all turns before it. Rows of one conversation come out together and in order.
 
     Defined results: null roles and texts are empty; null turns come first; turns that tie go by role, then text; repeated rows
     are turns of their own; rows without conv_id form one conversation; an empty table gives no rows; other columns are ignored.
@@ -131,7 +134,7 @@ def format_turns(df: DataFrame, template: Template = turn_template, loss_roles:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, spans, seq = object(), None, 0
-        for b in batches:
+        for b in small_batches(batches):
             out = []
             for c, r, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if spans is None or c != conv:
@@ -160,7 +163,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
     loss_sha256, formatted_chars.
 
     Takes rows as format_turns leaves them, a conversation's together and in order, and streams: the digests grow turn by turn.
-    Roles and texts are parsed from the output of the library's own template; the loss text is cut out by the spans."""
+    Roles and texts are parsed from the output of the library's own template; the loss text is cut out by the spans.
+
+    Defined results: rows without conv_id are one conversation, as format_turns has it; a conversation of null or empty texts has
+    the digests of its roles and line ends; no rows give none; other columns are ignored; output of another template raises."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, state = None, None
@@ -170,7 +176,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             return conv, n, turns.hexdigest(), chars, loss.hexdigest(), size
 
         kinds = None
-        for b in batches:
+        for b in small_batches(batches):
             kinds = [b.schema.field(0).type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             out = []
             for c, seq, own, start, end, trained in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):

@@ -20,7 +20,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     """One row per input row: id_col, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their bytes agree once blanks, tabs and line ends are deleted. Of equal texts the row with the most
-    code points in the original text stays, then the one with the smallest id.
+    code points in the original text stays, then the one with the smallest id. Ids must be whole numbers: text that is none
+    counts as a null id.
 
     Plan: the rows are grouped by (content hash, normalised text), so that bytes are compared inside each hash group; partial
     aggregation leaves at most one row per distinct text and map task, however large a group of copies is. The decisions, a
@@ -32,7 +33,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     rows; other columns are ignored, whatever their names.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = df.select(F.col(id_col).alias("_id"), stripped(text).alias("_norm"), F.char_length(text).cast("long").alias("_n"))
+    rows = df.select(F.col(id_col).try_cast("long").alias("_id"), stripped(text).alias("_norm"), F.char_length(text).cast("long").alias("_n"))
     rows = rows.withColumn("_h", F.unhex(content_hash(F.col("_norm"))))
     # most code points, then smallest id, as one number: a mutable aggregation buffer, so hash aggregation applies
     rank = F.col("_n").cast("decimal(38,0)") * _whole(1 << 65) - F.coalesce(F.col("_id").cast("decimal(20,0)"), _whole(_NO_ID))

@@ -37,7 +37,7 @@ def filter_urls(urls: DataFrame, rules: DataFrame, default: str = "allow", url_c
     longest rule wins by the characters of host and path together; then the one with the longer host; then block.
 
     Plan: the distinct (host, path) pairs, which a hot url reaches as one row, expand into host suffixes (cut at dots) and
-    path prefixes, these only of the lengths that rules have. Expressions meet rules by a 32-bit digest prefix in an equi-join;
+    path prefixes, only of the numbers of labels and the lengths that rules have. Expressions meet rules by a 32-bit digest prefix in an equi-join;
     the full digest decides. The best rule of a pair is an aggregate over its few matches and is joined back to the rows. Both
     joins are ones that adaptive execution splits where a key is hot, and Spark broadcasts a side only below its own threshold.
 
@@ -50,13 +50,16 @@ def filter_urls(urls: DataFrame, rules: DataFrame, default: str = "allow", url_c
     blank = F.lit("")
     ruled = rules.select(_clean_host(F.coalesce("host", blank)).alias("_rh"), F.coalesce("path", blank).alias("_rp"), F.col("verdict").alias("_rv"))
     ruled = ruled.where("_rh <> ''").groupBy("_rh", "_rp").agg(F.max(F.col("_rv") == "block").alias("_block"))
-    sizes = ruled.agg(F.sort_array(F.collect_set(F.char_length("_rp"))).alias("_sizes"))  # one row; lengths of paths, a few hundred at most
+    labels = F.char_length("_rh") - F.char_length(F.replace("_rh", F.lit("."), F.lit(""))) + 1
+    sizes = ruled.agg(F.sort_array(F.collect_set(F.char_length("_rp"))).alias("_sizes"), F.sort_array(F.collect_set(labels)).alias("_labels")).first()  # one row; a few hundred numbers at most
     ruled = ruled.select("*", _digest(F.col("_rh"), F.col("_rp")).alias("_rd"), (F.char_length("_rh") + F.char_length("_rp")).alias("_rn"))
     ruled = ruled.withColumn("_short", F.substring("_rd", 1, PREFIX))
 
     pairs = rows.where("_host <> ''").select("_host", "_path").distinct()
-    suffixes = F.expr("transform(sequence(0, size(split(_host, '[.]', -1)) - 1), i -> array_join(slice(split(_host, '[.]', -1), i + 1, 1000000), '.'))")
-    found = sizes.first()["_sizes"] or [0]
+    dots = F.char_length("_host") - F.char_length(F.replace("_host", F.lit("."), F.lit("")))
+    suffixes = F.array(*[F.when(dots >= n - 1, F.substring_index("_host", ".", -n)) for n in sizes["_labels"] or [1]])
+    suffixes = F.filter(suffixes, lambda h: h.isNotNull())
+    found = sizes["_sizes"] or [0]
     prefixes = F.filter(F.transform(F.array(*[F.lit(int(n)) for n in found]), lambda n: F.when(n <= F.char_length("_path"), F.substr(F.col("_path"), F.lit(1), n))), lambda p: p.isNotNull())
     wide = pairs.select("_host", "_path", F.explode(suffixes).alias("_h"), prefixes.alias("_ps")).select("_host", "_path", "_h", F.explode("_ps").alias("_p"))
     wide = wide.select("_host", "_path", _digest(F.col("_h"), F.col("_p")).alias("_d")).withColumn("_short", F.substring("_d", 1, PREFIX))

@@ -15,7 +15,7 @@ def judged(url, rules, default):
     return host, path, best and best[3], best[4] if best else default
 
 
-URLS = ["http://a.org/x", "https://EXAMPLE.org/es/1?q", "http://b.example.org/es", "http://example.org/en/12#t", "http://x.com/fr/a?b=c", "http://com/de/", "x.org/no-scheme", None, "", "http://", "http://org", "http://a.org?x/", "ftp://u@h.org:80/a", "http://notorg/", "http://a..org/", "http://x.org/" + "y" * 5000, "http://É.org/é", "http://a.com/de/\nz", "http://a.org/x"]
+URLS = ["http://a.org/x", "https://EXAMPLE.org/es/1?q", "http://b.example.org/es", "http://example.org/en/12#t", "http://x.com/fr/a?b=c", "http://com/de/", "x.org/no-scheme", None, "", "http://", "http://org", "http://a.org?x/", "ftp://u@h.org:80/a", "http://notorg/", "http://a..org/", "http://x.org/" + "y" * 5000, "http://É.org/é", "http://a.com/de/\nz", "http://a.org/x", "http://" + "a." * 100_000 + "org/x", "http://" + "." * 1000]
 
 
 def test_against_brute_force(spark):
