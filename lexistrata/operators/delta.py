@@ -1,4 +1,4 @@
-"""Deltas between texts or binaries: INSERT and MATCH operations, made by a substring index, applied by expressions."""
+"""Deltas between texts or binaries: INSERT and MATCH operations, made on a suffix array, applied by expressions."""
 
 from __future__ import annotations
 
@@ -6,76 +6,28 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lexistrata.operators.suffix import SuffixArray
 
 #: Matches up to this length are not worth an operation; they are taken into the INSERT before them.
 SHORT_MATCH = 30
 INSERT, MATCH = 0, 1
 OPS = "array<struct<op:tinyint,start:int,length:int,data:binary>>"
-
-
-class Source:
-    """Longest matches in a source: places of every 8-byte gram seed candidates, which are then extended; prefixes shorter than
-    a seed are found by search. The earliest place of the longest match wins."""
-
-    SEED = 8
-
-    def __init__(self, data: bytes):
-        self.data = data
-        self.places: dict[bytes, list[int]] = {}
-        for i in range(len(data) - self.SEED + 1):
-            self.places.setdefault(data[i : i + self.SEED], []).append(i)
-
-    def _extend(self, i: int, target: bytes, j: int, n: int) -> int:
-        step = 32
-        while step and i + n < len(self.data) and j + n < len(target):
-            if self.data[i + n : i + n + step] == target[j + n : j + n + step] and i + n + step <= len(self.data) and j + n + step <= len(target):
-                n += step
-                step *= 2
-            elif step > 1:
-                step //= 2
-            else:
-                break
-        return n
-
-    def longest_match(self, target: bytes, start: int) -> tuple[int, int] | None:
-        """(start, length); None past the target's end."""
-        if start > len(target):
-            return None
-        best = (0, 0)
-        for i in self.places.get(target[start : start + self.SEED], ()):
-            if best[1] and (i + best[1] >= len(self.data) or target[start : start + best[1] + 1] != self.data[i : i + best[1] + 1]):
-                continue
-            n = self._extend(i, target, start, self.SEED)
-            if n > best[1]:
-                best = (i, n)
-        if not best[1]:
-            for n in range(min(self.SEED - 1, len(target) - start), 0, -1):
-                if (i := self.data.find(target[start : start + n])) >= 0:
-                    return i, n
-        return best
-
-    def longest_nonmatch(self, target: bytes, start: int, least: int) -> tuple[int, int, int]:
-        """(length without a match longer than `least`, place and length of the match after it)."""
-        at = start
-        while at < len(target):
-            i, n = self.longest_match(target, at) if least < self.SEED else self._over(target, at, least)
-            if n > least:
-                return at - start, i, n
-            at += 1
-        return at - start, 0, 0
-
-    def _over(self, target: bytes, at: int, least: int) -> tuple[int, int]:
-        """As longest_match where only matches longer than `least`, which a seed begins, count."""
-        return self.longest_match(target, at) if target[at : at + self.SEED] in self.places and len(target) - at > least else (0, 0)
+_OP = T.StructType([T.StructField("op", T.ByteType()), T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("data", T.BinaryType())])
+_EVENT = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("op", T.StringType()), *_OP.fields[1:]])
 
 
 def make(source: bytes, target: bytes, least: int = SHORT_MATCH) -> list[tuple[int, int, int, bytes | None]]:
-    """(op, start, length, data) that turn the source into the target."""
-    index, at, ops = Source(source), 0, []
+    """(op, start, length, data) that turn the source into the target: from place to place what no match longer than `least`
+    covers, then the match."""
+    own = SuffixArray(source)
+    seeds, at, ops = own.seeds(target, least), 0, []
     while at < len(target):
-        non, start, n = index.longest_nonmatch(target, at, least)
+        non, start, n = own.longest_nonmatch(target, at, least, seeds)
         if non:
             ops.append((INSERT, 0, non, target[at : at + non]))
         if n:
@@ -108,20 +60,43 @@ def decode(data: bytes) -> list[tuple[int, int, int, bytes | None]]:
     return ops
 
 
+_ARROW_OPS = pa.list_(pa.struct([("op", pa.int8()), ("start", pa.int32()), ("length", pa.int32()), ("data", pa.binary())]))
+
+
 def make_deltas(pairs: DataFrame, source: str = "source", target: str = "target", least: int = SHORT_MATCH) -> DataFrame:
     """pairs (more columns, source, target as text or binary) with ops. One pair at a time in Arrow batches, no shuffle."""
-    rest = [c for c in pairs.columns]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for s, t in zip(b["_s"], b["_t"], strict=True):
-                out.append([{"op": o, "start": i, "length": n, "data": d} for o, i, n, d in make(bytes(s), bytes(t), least)])
-            yield b.drop(columns=["_s", "_t"]).assign(ops=out)
+            for s, t in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                out.append([{"op": o, "start": i, "length": n, "data": d} for o, i, n, d in make(s or b"", t or b"", least)])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(out, _ARROW_OPS)], [*b.schema.names[:-2], "ops"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
-    binary = pairs.select(*rest, F.col(source).cast("binary").alias("_s"), F.col(target).cast("binary").alias("_t"))
-    return binary.mapInPandas(run, f"{kinds}, ops {OPS}")
+    binary = pairs.select("*", F.col(source).cast("binary").alias("_s"), F.col(target).cast("binary").alias("_t"))
+    return binary.mapInArrow(run, f"{kinds}, ops {OPS}")
+
+
+@F.pandas_udf(T.BinaryType())
+def encode_ops(ops: pd.Series) -> pd.Series:
+    """Operations as one binary."""
+    return pd.Series([None if x is None else encode([(o["op"], o["start"], o["length"], o["data"]) for o in x]) for x in ops])
+
+
+@F.pandas_udf(T.ArrayType(_OP))
+def decode_ops(data: pd.Series) -> pd.Series:
+    """Operations of a binary."""
+    return pd.Series([None if x is None else [{"op": o, "start": i, "length": n, "data": d} for o, i, n, d in decode(x)] for x in data])
+
+
+@F.udtf(returnType=_EVENT)
+class Events:
+    """The events of a binary delta, one row each, for SQL and lateral joins: register it and select from it."""
+
+    def eval(self, data: bytes):
+        for n, (op, start, length, inserted) in enumerate(decode(bytes(data)) if data is not None else []):
+            yield n, "MATCH" if op == MATCH else "INSERT", start, length, inserted
 
 
 def apply_deltas(source: Column, ops: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,31 +65,37 @@ def substr_all_positions(spark, d):
     return docs.select(F.col("doc_id").alias("id"), F.array_join(suffix.all_positions(F.col("text"), F.lit("the")).cast("array<string>"), ",").alias("positions"))
 
 
-@query("longest_match", "WITH p AS (SELECT a.item_id AS id, a.text AS s, substr(b.text, 11) AS t FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1), m AS (SELECT id, s, t, CAST((SELECT coalesce(max(n), 0) FROM unnest(range(1, length(t) + 1)) x(n) WHERE contains(s, t[1:n])) AS INT) AS length FROM p) SELECT id, CAST(CASE WHEN length = 0 THEN 0 ELSE strpos(s, t[1:length]) - 1 END AS INT) AS start, length FROM m")
-def longest_match(spark, d):
+@query("bwt", f"WITH {_SUFFIXES} SELECT id, CAST(max(rank) FILTER (WHERE pos = 0) AS INT) AS start, string_agg(substr(text, pos, 1), '' ORDER BY rank) FILTER (WHERE pos > 0) AS bwt FROM r GROUP BY id")
+def bwt(spark, d):
+    return suffix.bwt(texts(spark, d), "item_id", "text")
+
+
+def neighbours(spark, d) -> DataFrame:
+    """Each text (s) with the one after it (t)."""
     a = texts(spark, d).select(F.col("item_id").alias("id"), F.col("text").alias("s"))
-    b = texts(spark, d).select((F.col("item_id") - 1).alias("id"), F.col("text").alias("t"))
-    m = suffix.longest_match(F.col("s"), F.col("t"), F.lit(10))
-    return a.join(b, "id").select("id", m.alias("m")).select("id", "m.start", "m.length")
+    return a.join(texts(spark, d).select((F.col("item_id") - 1).alias("id"), F.col("text").alias("t")), "id")
 
 
-@query("longest_nonmatch")
-def longest_nonmatch(spark, d):
-    """Each text against the one before it: bytes without a match over 3 bytes, then the match."""
-    a = texts(spark, d).select((F.col("item_id") + 1).alias("id"), F.col("text").alias("s"))
-    b = texts(spark, d).select(F.col("item_id").alias("id"), F.col("text").alias("t"))
+_NEXT = "p AS (SELECT a.item_id AS id, a.text AS s, b.text AS t FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)"
+_FIRST = "CAST(CASE WHEN length = 0 THEN 0 ELSE strpos(s, t[1:length]) - 1 END AS INT) AS start, length"
+
+
+@query("longest_match", f"WITH {_NEXT}, q AS (SELECT id, s, substr(t, 11) AS t FROM p), m AS (SELECT id, s, t, CAST((SELECT coalesce(max(n), 0) FROM unnest(range(1, length(t) + 1)) x(n) WHERE contains(s, t[1:n])) AS INT) AS length FROM q) SELECT id, {_FIRST} FROM m")
+def longest_match(spark, d):
+    return suffix.matches(neighbours(spark, d), "s", "t", 10).select("id", "start", "length")
 
-    def run(batches):
-        for p in batches:
-            found = [delta.Source(s.encode()).longest_nonmatch(t.encode(), 0, 3) for s, t in zip(p["s"], p["t"], strict=True)]
-            yield pd.DataFrame({"id": p["id"], "nonmatch": [x[0] for x in found], "start": [x[1] for x in found], "length": [x[2] for x in found]})
 
-    return a.join(b, "id").mapInPandas(run, "id long, nonmatch int, start int, length int")
+@query("longest_nonmatch", f"WITH {_NEXT}, k AS (SELECT id, s, t, (SELECT coalesce(min(i), length(t)) FROM unnest(range(0, length(t) - 3)) x(i) WHERE contains(s, t[i + 1:i + 4])) AS k FROM p), q AS (SELECT id, s, CAST(k AS INT) AS nonmatch, substr(t, k + 1) AS t FROM k), m AS (SELECT id, s, t, nonmatch, CAST((SELECT coalesce(max(n), 0) FROM unnest(range(4, length(t) + 1)) x(n) WHERE contains(s, t[1:n])) AS INT) AS length FROM q) SELECT id, nonmatch, {_FIRST} FROM m")
+def longest_nonmatch(spark, d):
+    """Each text's successor against it: characters without a match over 3 characters, then the match."""
+    return suffix.matches(neighbours(spark, d), "s", "t", 0, 3).select("id", "nonmatch", "start", "length")
 
 
-# --- deltas of documents edited between the snapshots ---
+# --- deltas of documents edited between the snapshots: an edited text is the old one and 7 bytes more. So its delta is known: a
+# match of the whole source and 7 bytes inserted, or, where the source is too short to count as a match, one insert of all ---
 
-_PAIRS = f"WITH {SNAPSHOTS}, pairs AS (SELECT path, a.content AS source, b.content AS target FROM snapshot_a a JOIN snapshot_b b USING (path) WHERE a.mtime <> b.mtime)"
+_PAIRS = f"WITH {SNAPSHOTS}, pairs AS (SELECT path, a.content AS source, b.content AS target, strlen(a.content) AS n, strlen(a.content) > {delta.SHORT_MATCH} AS long FROM snapshot_a a JOIN snapshot_b b USING (path) WHERE a.mtime <> b.mtime)"
+_LE32 = "lower(format('{{:02X}}{{:02X}}{{:02X}}{{:02X}}', ({0}) & 255, (({0}) >> 8) & 255, (({0}) >> 16) & 255, (({0}) >> 24) & 255))"
 
 
 def pairs(spark, d) -> DataFrame:
@@ -103,40 +108,47 @@ def deltas(spark, d) -> DataFrame:
     return delta.make_deltas(pairs(spark, d))
 
 
-@query("delta_make", f"{_PAIRS} SELECT path, md5(target) AS digest FROM pairs")
+@query("delta_make", f"{_PAIRS} SELECT path, CASE WHEN long THEN 'M0+' || n || ' I7' ELSE 'I' || n + 7 END AS ops FROM pairs")
 def delta_make(spark, d):
-    return deltas(spark, d).select("path", F.md5(delta.apply_deltas(F.col("source"), F.col("ops"))).alias("digest"))
+    one = lambda o: F.when(o["op"] == delta.MATCH, F.concat(F.lit("M"), o["start"].cast("string"), F.lit("+"), o["length"].cast("string"))).otherwise(F.concat(F.lit("I"), F.octet_length(o["data"]).cast("string")))
+    return deltas(spark, d).select("path", F.array_join(F.transform("ops", one), " ").alias("ops"))
 
 
-@query("delta_apply", f"{_PAIRS} SELECT path, strlen(target) AS bytes, md5(target) AS digest FROM pairs")
+@query("delta_apply", f"{_PAIRS} SELECT path, n + 7 AS bytes, md5(target) AS digest, CASE WHEN long THEN 7 ELSE n + 7 END AS carried FROM pairs")
 def delta_apply(spark, d):
-    made = deltas(spark, d).select("path", delta.apply_deltas(F.col("source"), F.col("ops")).alias("t"))
-    return made.select("path", F.octet_length("t").cast("long").alias("bytes"), F.md5("t").alias("digest"))
+    """Targets from sources and deltas alone, and the bytes that the deltas carry."""
+    made = deltas(spark, d).select("path", "source", "ops").withColumn("t", delta.apply_deltas(F.col("source"), F.col("ops")))
+    return made.select("path", F.octet_length("t").cast("long").alias("bytes"), F.md5("t").alias("digest"), F.col("ops").alias("o")).select("path", "bytes", "digest", delta.delta_stats(F.col("o"))["insert_total"].alias("carried"))
 
 
-@query("delta_codec_roundtrip", f"{_PAIRS} SELECT path, md5(target) AS digest FROM pairs")
+@query("delta_codec_roundtrip", f"{_PAIRS} SELECT path, CASE WHEN long THEN '0100000000' || {_LE32.format('n')} || '0007000000' || lower(hex(' EDITED')) ELSE '00' || {_LE32.format('n + 7')} || lower(hex(target)) END AS record, md5(target) AS digest FROM pairs")
 def delta_codec_roundtrip(spark, d):
-    """Operations as little-endian records and back."""
+    """Operations as little-endian records, and what these apply to."""
+    coded = deltas(spark, d).select("path", "source", delta.encode_ops("ops").alias("c"))
+    return coded.select("path", F.lower(F.hex("c")).alias("record"), F.md5(delta.apply_deltas(F.col("source"), delta.decode_ops("c"))).alias("digest"))
 
-    def run(batches):
-        for p in batches:
-            out = [delta.apply_ops(s.encode(), delta.decode(delta.encode([(o["op"], o["start"], o["length"], o["data"]) for o in ops]))) for s, ops in zip(p["source"], p["ops"], strict=True)]
-            yield pd.DataFrame({"path": p["path"], "t": out})
 
-    return deltas(spark, d).mapInPandas(run, "path string, t binary").select("path", F.md5("t").alias("digest"))
+_EVENTS = "SELECT path, 0 AS n, 'MATCH' AS op, 0 AS start, CAST(n AS INT) AS length FROM pairs WHERE long UNION ALL SELECT path, 1, 'INSERT', 0, 7 FROM pairs WHERE long UNION ALL SELECT path, 0, 'INSERT', 0, CAST(n + 7 AS INT) FROM pairs WHERE NOT long"
 
 
-@query("delta_log", f"{_PAIRS} SELECT path, strlen(target) AS bytes FROM pairs")
+@query("delta_log", f"{_PAIRS} {_EVENTS}")
 def delta_log(spark, d):
-    """Operations one by one; their lengths add up to the target's."""
-    ops = deltas(spark, d).select("path", F.explode("ops").alias("o"))
-    return ops.groupBy("path").agg(F.sum("o.length").alias("bytes"))
+    """Operations one by one, by expressions."""
+    ops = deltas(spark, d).select("path", F.posexplode("ops").alias("n", "o"))
+    return ops.select("path", "n", F.when(F.col("o.op") == delta.MATCH, "MATCH").otherwise("INSERT").alias("op"), "o.start", "o.length")
+
+
+@query("delta_events", f"{_PAIRS} {_EVENTS}")
+def delta_events(spark, d):
+    """Operations one by one, by the table function over binary deltas."""
+    coded = deltas(spark, d).select("path", delta.encode_ops("ops").alias("c"))
+    spark.udtf.register("delta_events", delta.Events)
+    return spark.sql("SELECT path, e.n, e.op, e.start, e.length FROM {coded}, LATERAL delta_events(c) e", coded=coded)
 
 
-@query("delta_stats", f"{_PAIRS} SELECT path, strlen(target) AS bytes, TRUE AS counted FROM pairs")
+@query("delta_stats", f"{_PAIRS} SELECT path, CASE WHEN long THEN 1 ELSE 0 END AS match_count, CASE WHEN long THEN n ELSE 0 END AS match_total, 1 AS insert_count, CASE WHEN long THEN 7 ELSE n + 7 END AS insert_total FROM pairs")
 def delta_stats(spark, d):
-    s = deltas(spark, d).select("path", delta.delta_stats(F.col("ops")).alias("s"))
-    return s.select("path", (F.col("s.match_total") + F.col("s.insert_total")).alias("bytes"), (F.col("s.match_count") + F.col("s.insert_count") > 0).alias("counted"))
+    return deltas(spark, d).select("path", delta.delta_stats(F.col("ops")).alias("s")).select("path", "s.*")
 
 
 @query("delta_nochange", f"WITH {SNAPSHOTS} SELECT path, a.content = b.content AS same FROM snapshot_a a JOIN snapshot_b b USING (path) WHERE a.content <> ''")

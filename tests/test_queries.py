@@ -10,7 +10,7 @@ from lexistrata.queries import ORACLE_SQL, QUERIES
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-WITHOUT_SQL = {"lob_scan", "longest_nonmatch"}
+WITHOUT_SQL = {"lob_scan"}
 
 
 @pytest.fixture(scope="module")
