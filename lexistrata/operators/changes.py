@@ -1,14 +1,16 @@
 """Snapshots, their differences, operation journals, merge verdicts, application and undo.
 
-A snapshot is (path, content, mtime). A journal row is (seq, type, path, to_path, digest, content, mtime, deleted_dirs,
-created_dirs): an operation carries its data, so rows are independent and apply in one join."""
+A snapshot is (path, content, mtime). A journal row is (seq, type, path, to_path, digest, content, ops, mtime, created): an
+operation carries its data, a delta where a file changed, so rows are independent and apply in one join."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexistrata.operators.delta import OPS, apply_deltas, make_deltas
 from lexistrata.operators.ranking import with_rank
+from lexistrata.sources.storage import materialized
 
 #: Operation types in the order in which a changeset lists them.
 TYPES = ["delete", "move", "create", "delta", "directory"]
@@ -54,59 +56,93 @@ def directories(snapshot: DataFrame) -> DataFrame:
     return snapshot.where(F.contains("path", F.lit("/"))).select(F.explode(above).alias("path")).distinct()
 
 
+def difference(source: DataFrame, target: DataFrame) -> DataFrame:
+    """One row for each path of either snapshot: path, kind (gone, new, changed, same), and size, digest and mtime on both sides.
+
+    One join over descriptions; contents are not moved."""
+    a = _described(source).select("path", F.lit(True).alias("_a"), *[F.col(c).alias(f"old_{c}") for c in ("size", "digest", "mtime")])
+    b = _described(target).select("path", F.lit(True).alias("_b"), *[F.col(c).alias(f"new_{c}") for c in ("size", "digest", "mtime")])
+    kind = F.when(F.col("_b").isNull(), "gone").when(F.col("_a").isNull(), "new").when(F.col("old_mtime") != F.col("new_mtime"), "changed").otherwise("same")
+    return a.join(b, "path", "full").withColumn("kind", kind).drop("_a", "_b")
+
+
+def _moves(diff: DataFrame) -> DataFrame:
+    """Moves among the rows of difference()."""
+
+    def unique(kind: str, side: str, path: str) -> DataFrame:
+        rows = diff.where(F.col("kind") == kind).groupBy(basename(F.col("path")).alias("base"))
+        one = rows.agg(F.count("*").alias("n"), *[F.first(c).alias(n) for c, n in (("path", path), (f"{side}_size", "size"), (f"{side}_digest", "digest"), (f"{side}_mtime", f"{side}_mtime"))])
+        return one.where("n = 1").drop("n")
+
+    both = unique("gone", "old", "path").join(unique("new", "new", "to_path"), ["base", "size", "digest"])
+    return both.select("path", "to_path", "digest", F.col("new_mtime").alias("mtime"))
+
+
 def moved(source: DataFrame, target: DataFrame) -> DataFrame:
     """path, to_path, digest of files that are gone in one place and new in another: the basename occurs once among the deleted
     and once among the created, and size and md5 agree."""
+    return _moves(difference(source, target))
 
-    def unique(df: DataFrame) -> DataFrame:
-        rows = _described(df).withColumn("base", basename(F.col("path")))
-        once = rows.groupBy("base").agg(F.count("*").alias("n"), F.first("path").alias("path"), F.first("size").alias("size"), F.first("digest").alias("digest"), F.first("mtime").alias("mtime"))
-        return once.where("n = 1").drop("n")
 
-    a, b = unique(deleted(source, target)), unique(created(source, target))
-    b = b.select("base", "size", "digest", F.col("path").alias("to_path"), F.col("mtime").alias("to_mtime"))
-    return a.join(b, ["base", "size", "digest"]).select("path", "to_path", "digest", F.col("to_mtime").alias("mtime"))
+_JOURNAL = ["seq", "type", "path", "to_path", "digest", "content", "ops", "mtime", "created"]
 
 
 def journal(source: DataFrame, target: DataFrame) -> DataFrame:
     """The operations that turn source into target, numbered: deletes, moves, creates, deltas by path, then one for directories.
 
-    Numbers come from ranges of (type, path) that are sorted side by side."""
-    moves = moved(source, target)
-    gone = deleted(source, target).join(moves.select("path"), "path", "left_anti")
-    new = created(source, target).join(moves.select(F.col("to_path").alias("path")), "path", "left_anti")
-    diff = changed(source, target)
-    text, none = F.lit(None).cast("string"), F.array().cast("array<string>")
+    A created file carries its content, a changed one the delta from its old content (ops; null where only the time differs).
+    The directories' operation is one row for each directory, of one number, created or not.
+
+    Paths are classed once (difference, written to the shared folder); contents are joined to the rows that need them, and
+    numbers come from ranges of (type, path) that are sorted side by side."""
+    diff = materialized(difference(source, target), "difference")
+    moves = _moves(diff)
+    text, none = F.lit(None).cast("string"), F.lit(None).cast(OPS)
+    gone = diff.where("kind = 'gone'").join(moves.select("path", "to_path", "mtime"), "path", "left")
+    gone = gone.select(F.when(F.col("to_path").isNull(), "delete").otherwise("move").alias("type"), "path", "to_path", F.col("old_digest").alias("digest"), text.alias("content"), none.alias("ops"), "mtime")
+    new = diff.where("kind = 'new' or (kind = 'changed' and old_size = 0)").join(moves.select(F.col("to_path").alias("path")), "path", "left_anti")
+    add = new.join(target.select("path", "content"), "path").select(F.lit("create").alias("type"), "path", text.alias("to_path"), F.col("new_digest").alias("digest"), "content", none.alias("ops"), F.col("new_mtime").alias("mtime"))
+    edited = diff.where("kind = 'changed' and old_size > 0").select("path", "old_digest", "new_digest", "new_mtime")
+    texts = edited.where("old_digest <> new_digest").join(source.select("path", F.col("content").alias("_old")), "path").join(target.select("path", F.col("content").alias("_new")), "path")
+    made = make_deltas(texts, "_old", "_new").drop("_old", "_new").unionByName(edited.where("old_digest = new_digest").withColumn("ops", none))
+    change = made.select(F.lit("delta").alias("type"), "path", text.alias("to_path"), F.col("old_digest").alias("digest"), text.alias("content"), "ops", F.col("new_mtime").alias("mtime"))
+    ops = materialized(gone.unionByName(add).unionByName(change), "operations")
+    rank = F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col("type"))
+    numbers = with_rank(ops.select("path", "type", rank.alias("_t")), [F.col("_t"), F.col("path")], "_r").select("path", "type", (F.col("_r") - 1).alias("seq"))
+    files = ops.join(numbers, ["path", "type"]).withColumn("created", F.lit(None).cast("boolean")).select(_JOURNAL)
+    da, db = directories(source), directories(target)
+    dirs = da.join(db, "path", "left_anti").withColumn("created", F.lit(False)).unionByName(db.join(da, "path", "left_anti").withColumn("created", F.lit(True)))
+    last = ops.agg(F.count("*").alias("seq"))  # one row
+    dirs = dirs.join(F.broadcast(last)).select("seq", F.lit("directory").alias("type"), "path", text.alias("to_path"), text.alias("digest"), text.alias("content"), none.alias("ops"), F.lit(None).cast("long").alias("mtime"), "created")
+    return files.unionByName(dirs)
+
 
-    def rows(df: DataFrame, kind: str, to: Column = text, digest: Column = text, content: Column = text, mtime: Column | None = None) -> DataFrame:
-        return df.select(F.lit(kind).alias("type"), F.col("path"), to.alias("to_path"), digest.alias("digest"), content.alias("content"), (F.lit(None).cast("long") if mtime is None else mtime).alias("mtime"), none.alias("deleted_dirs"), none.alias("created_dirs"))
+def write_changeset(source: DataFrame, target: DataFrame, path: str) -> None:
+    """The journal from source to target, and beside it the one that undoes it."""
+    journal(source, target).write.parquet(f"{path}/journal")
+    journal(target, source).write.parquet(f"{path}/undo")
 
-    both = diff.join(source.select("path", F.md5("content").alias("_digest")), "path").join(target.select("path", "content", "mtime"), "path")
-    add = both.where("reclassified").unionByName(new.select("path", "content", "mtime"), allowMissingColumns=True)
-    da, db = directories(source), directories(target)
-    dirs = da.join(db, "path", "left_anti").agg(F.reverse(F.array_sort(F.collect_list("path"))).alias("deleted_dirs")).join(db.join(da, "path", "left_anti").agg(F.array_sort(F.collect_list("path")).alias("created_dirs")))
-    dirs = dirs.where("size(deleted_dirs) + size(created_dirs) > 0").select(F.lit("directory").alias("type"), F.lit("").alias("path"), text.alias("to_path"), text.alias("digest"), text.alias("content"), F.lit(None).cast("long").alias("mtime"), "deleted_dirs", "created_dirs")
-    ops = (
-        rows(gone, "delete", digest=F.md5("content"))
-        .unionByName(rows(moves, "move", F.col("to_path"), F.col("digest"), mtime=F.col("mtime")))
-        .unionByName(rows(add, "create", digest=F.md5("content"), content=F.col("content"), mtime=F.col("mtime")))
-        .unionByName(rows(both.where("not reclassified"), "delta", digest=F.col("_digest"), content=F.col("content"), mtime=F.col("mtime")))
-        .unionByName(dirs)
-    )
-    rank = F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col("type"))
-    numbered = with_rank(ops.withColumn("_t", rank), [F.col("_t"), F.col("path")], "_r")
-    return numbered.select((F.col("_r") - 1).alias("seq"), "type", "path", "to_path", "digest", "content", "mtime", "deleted_dirs", "created_dirs")
+
+def read_changeset(spark: SparkSession, path: str, undo: bool = False) -> DataFrame:
+    return spark.read.parquet(f"{path}/undo" if undo else f"{path}/journal")
+
+
+def undo(state: DataFrame, path: str) -> DataFrame:
+    """The state before a stored changeset, by its stored undo journal; an error where there is none."""
+    return apply_journal(state, read_changeset(state.sparkSession, path, True))
 
 
 def journal_stats(ops: DataFrame) -> DataFrame:
     of = lambda t: F.count_if(F.col("type") == t)
-    return ops.agg(of("move").alias("moves"), of("create").alias("creates"), of("delete").alias("deletes"), of("delta").alias("deltas"), F.sum(F.size("deleted_dirs")).alias("deleted_directories"), F.sum(F.size("created_dirs")).alias("created_directories"))
+    dirs = lambda made: F.count_if((F.col("type") == "directory") & (F.col("created") == made))
+    return ops.agg(of("move").alias("moves"), of("create").alias("creates"), of("delete").alias("deletes"), of("delta").alias("deltas"), dirs(False).alias("deleted_directories"), dirs(True).alias("created_directories"))
 
 
 def verdicts(ops: DataFrame, state: DataFrame, state_dirs: DataFrame | None = None) -> DataFrame:
     """seq, type, path, verdict of every operation against a state: -1 conflict, 0 skip, 1 apply.
 
-    One pass: the state's digests join by path, and by the target of moves; directory lists are checked path by path."""
+    One pass: the state's digests join by path, and by the target of moves; directories are checked path by path and have one
+    verdict for the operation they belong to."""
     have = state.select("path", F.md5("content").alias("_have"))
     target = state.select(F.col("path").alias("to_path"), F.lit(True).alias("_there"))
     rows = ops.where("type <> 'directory'").join(have, "path", "left").join(target, "to_path", "left")
@@ -120,12 +156,9 @@ def verdicts(ops: DataFrame, state: DataFrame, state_dirs: DataFrame | None = No
     )
     files = rows.select("seq", "type", "path", v.alias("verdict"))
     dirs = directories(state) if state_dirs is None else state_dirs
-    lists = ops.where("type = 'directory'").select("seq", "type", "path", "deleted_dirs", "created_dirs")
-    wanted = lists.select("seq", F.explode(F.concat(F.transform("deleted_dirs", lambda d: F.struct(d.alias("dir"), F.lit(True).alias("gone"))), F.transform("created_dirs", lambda d: F.struct(d.alias("dir"), F.lit(False).alias("gone"))))).alias("e")).select("seq", F.col("e.dir").alias("dir"), "e.gone")
-    found = wanted.join(dirs.select(F.col("path").alias("dir"), F.lit(True).alias("_is")), "dir", "left")
-    need = found.groupBy("seq").agg(F.max((F.col("gone") & F.col("_is").isNotNull()) | (~F.col("gone") & F.col("_is").isNull())).alias("_need"))
-    by_dir = lists.join(need, "seq", "left").select("seq", "type", "path", F.when(F.coalesce("_need", F.lit(False)), 1).otherwise(0).alias("verdict"))
-    return files.unionByName(by_dir)
+    found = ops.where("type = 'directory'").select("seq", "path", "created").join(dirs.select("path", F.lit(True).alias("_is")), "path", "left")
+    need = found.groupBy("seq").agg(F.max(F.col("created") == F.col("_is").isNull()).alias("_need"))
+    return files.unionByName(need.select("seq", F.lit("directory").alias("type"), F.lit("").alias("path"), F.when(F.col("_need"), 1).otherwise(0).alias("verdict")))
 
 
 def report(checked: DataFrame) -> DataFrame:
@@ -144,12 +177,13 @@ def test_failures(ops: DataFrame, state: DataFrame) -> DataFrame:
 
 def apply_journal(state: DataFrame, ops: DataFrame) -> DataFrame:
     """The state after the operations. Paths of operations are disjoint, so one anti join removes and one union adds; moved
-    content comes from the state by an equi-join."""
+    content and the sources of deltas come from the state by an equi-join."""
     files = ops.where("type in ('delete', 'move', 'create', 'delta')")
-    kept = state.join(files.where("type <> 'create'").select("path"), "path", "left_anti").join(files.where("type = 'create'").select("path"), "path", "left_anti")
-    put = files.where("type in ('create', 'delta')").select("path", "content", "mtime")
-    moves = files.where("type = 'move'").select("path", "to_path", F.col("mtime").alias("_m")).join(state.select("path", "content"), "path")
-    return kept.select("path", "content", "mtime").unionByName(put).unionByName(moves.select(F.col("to_path").alias("path"), "content", F.col("_m").alias("mtime")))
+    kept = state.join(files.select("path"), "path", "left_anti").select("path", "content", "mtime")
+    put = files.where("type = 'create'").select("path", "content", "mtime")
+    old = files.where("type in ('move', 'delta')").select("path", "type", "to_path", "ops", "mtime").join(state.select("path", "content"), "path")
+    edited = F.when((F.col("type") == "move") | F.col("ops").isNull(), F.col("content")).otherwise(apply_deltas(F.col("content"), F.col("ops")).cast("string"))
+    return kept.unionByName(put).unionByName(old.select(F.coalesce("to_path", "path").alias("path"), edited.alias("content"), "mtime"))
 
 
 def missing_elsewhere(here: DataFrame, there: DataFrame, key: str = "id") -> DataFrame:

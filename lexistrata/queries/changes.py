@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexistrata.operators import changes as ch
+from lexistrata.operators.delta import delta_stats
 from lexistrata.queries.common import Query, table
 from lexistrata.sources import storage
 
@@ -58,9 +59,9 @@ ops AS (SELECT 1 AS t, 'delete' AS type, path, NULL AS to_path, md5(content) AS
 UNION ALL SELECT 2, 'move', path, to_path, digest, NULL, mtime FROM moved
 UNION ALL SELECT 3, 'create', path, NULL, md5(content), content, mtime FROM new WHERE path NOT IN (SELECT to_path FROM moved)
 UNION ALL SELECT 3, 'create', path, NULL, md5(content), content, mtime FROM diff WHERE reclassified
-UNION ALL SELECT 4, 'delta', path, NULL, old, content, mtime FROM diff WHERE NOT reclassified
-UNION ALL SELECT 5, 'directory', '', NULL, NULL, NULL, NULL WHERE (SELECT count(*) FROM deld) + (SELECT count(*) FROM newd) > 0),
-journal AS (SELECT row_number() OVER (ORDER BY t, path) - 1 AS seq, * FROM ops)"""
+UNION ALL SELECT 4, 'delta', path, NULL, old, content, mtime FROM diff WHERE NOT reclassified),
+journal AS (SELECT row_number() OVER (ORDER BY t, path) - 1 AS seq, *, NULL::BOOLEAN AS created FROM ops
+UNION ALL SELECT (SELECT count(*) FROM ops), 5, 'directory', path, NULL, NULL, NULL, NULL, created FROM (SELECT path, FALSE AS created FROM deld UNION ALL SELECT path, TRUE FROM newd))"""
 )
 
 
@@ -102,10 +103,17 @@ def status_summary(spark, d):
     return s.join(F.broadcast(empty)).select("deleted", "moved", (F.col("c") - F.col("r")).alias("created"), (F.col("e") + F.col("r")).alias("changed"))
 
 
-@query("journal_build", f"{_JOURNAL} SELECT CAST(seq AS BIGINT) AS seq, type, path, to_path, digest, CAST(mtime AS BIGINT) AS mtime, CASE WHEN type = 'directory' THEN (SELECT string_agg(path, ',' ORDER BY path DESC) FROM deld) END AS deleted_dirs, CASE WHEN type = 'directory' THEN (SELECT string_agg(path, ',' ORDER BY path) FROM newd) END AS created_dirs FROM journal")
+@query("journal_build", f"{_JOURNAL} SELECT CAST(seq AS BIGINT) AS seq, type, path, to_path, digest, CAST(mtime AS BIGINT) AS mtime, created FROM journal")
 def journal_build(spark, d):
-    join = lambda c: F.when(F.size(c) > 0, F.array_join(c, ","))
-    return ch.journal(*both(spark, d)).select(F.col("seq").cast("long").alias("seq"), "type", "path", "to_path", "digest", "mtime", join("deleted_dirs").alias("deleted_dirs"), join("created_dirs").alias("created_dirs"))
+    return ch.journal(*both(spark, d)).select(F.col("seq").cast("long").alias("seq"), "type", "path", "to_path", "digest", "mtime", "created")
+
+
+@query("journal_payload", f"{_JOURNAL}, o AS (SELECT path, strlen(content) AS n FROM snapshot_a) SELECT type, count(*) AS rows, CAST(sum(CASE WHEN type = 'delta' THEN CASE WHEN n > 30 THEN 7 ELSE n + 7 END ELSE strlen(content) END) AS BIGINT) AS carried FROM journal LEFT JOIN o USING (path) WHERE type IN ('create', 'delta') GROUP BY type")
+def journal_payload(spark, d):
+    """Bytes of content that the operations carry: whole texts of new files, what deltas insert for changed ones."""
+    j = ch.journal(*both(spark, d)).where("type in ('create', 'delta')")
+    carried = F.when(F.col("type") == "delta", delta_stats(F.col("ops"))["insert_total"]).otherwise(F.octet_length("content"))
+    return j.groupBy("type").agg(F.count("*").alias("rows"), F.sum(carried).alias("carried"))
 
 
 @query("journal_scan", f"{_JOURNAL} SELECT CAST(seq AS BIGINT) AS seq, type, path FROM journal")
@@ -141,8 +149,9 @@ WHEN 'delete' THEN CASE WHEN s.path IS NULL THEN 0 WHEN md5(s.content) = digest
 WHEN 'create' THEN CASE WHEN s.path IS NULL THEN 1 WHEN md5(s.content) = digest THEN 0 ELSE -1 END
 WHEN 'move' THEN CASE WHEN s.path IS NOT NULL THEN CASE WHEN md5(s.content) = digest THEN 1 ELSE -1 END WHEN t.path IS NOT NULL THEN 0 ELSE -1 END
 WHEN 'delta' THEN CASE WHEN s.path IS NOT NULL AND md5(s.content) = digest THEN 1 ELSE -1 END
-ELSE CASE WHEN EXISTS (SELECT 1 FROM deld WHERE path IN (SELECT path FROM sdirs)) OR EXISTS (SELECT 1 FROM newd WHERE path NOT IN (SELECT path FROM sdirs)) THEN 1 ELSE 0 END END AS verdict
-FROM journal j LEFT JOIN state s ON s.path = j.path LEFT JOIN state t ON t.path = j.to_path)"""
+END AS verdict
+FROM journal j LEFT JOIN state s ON s.path = j.path LEFT JOIN state t ON t.path = j.to_path WHERE type <> 'directory'
+UNION ALL SELECT seq, 'directory', '', CASE WHEN EXISTS (SELECT 1 FROM deld WHERE path IN (SELECT path FROM sdirs)) OR EXISTS (SELECT 1 FROM newd WHERE path NOT IN (SELECT path FROM sdirs)) THEN 1 ELSE 0 END FROM (SELECT DISTINCT seq FROM journal WHERE type = 'directory'))"""
 )
 
 
@@ -180,11 +189,14 @@ def apply_changeset(spark, d):
     return _digests(ch.apply_journal(a, ch.journal(a, b)))
 
 
-@query("apply_undo_identity", f"WITH {SNAPSHOTS} SELECT path, md5(content) AS digest FROM snapshot_a")
+@query("apply_undo_identity", f"WITH {SNAPSHOTS} SELECT path, md5(content) AS digest, CAST(mtime AS BIGINT) AS mtime FROM snapshot_a")
 def apply_undo_identity(spark, d):
+    """A stored changeset applied, then undone by the undo journal that is stored with it."""
     a, b = both(spark, d)
-    there = ch.apply_journal(a, ch.journal(a, b))
-    return _digests(ch.apply_journal(there, ch.journal(b, a)))
+    path = storage.scratch(spark, "changeset")
+    ch.write_changeset(a, b, path)
+    there = ch.apply_journal(a, ch.read_changeset(spark, path))
+    return ch.undo(there, path).select("path", F.md5("content").alias("digest"), "mtime")
 
 
 @query("sync_new", f"{_W} SELECT path FROM new")
@@ -236,5 +248,5 @@ def revision_index(spark, d):
     """Documents of a changeset: one for its meta-data, one for each journal row, one for each piece of data."""
     j = ch.journal(*both(spark, d))
     meta = spark.createDataFrame([("metadata", None, "changeset")], "kind string, operation string, path string")
-    kinds = F.when(F.col("content").isNull(), F.array(F.lit("journal"))).otherwise(F.array(F.lit("journal"), F.lit("data")))
+    kinds = F.when(F.col("content").isNull() & (F.coalesce(F.size("ops"), F.lit(0)) <= 0), F.array(F.lit("journal"))).otherwise(F.array(F.lit("journal"), F.lit("data")))
     return meta.unionByName(j.select(F.explode(kinds).alias("kind"), F.col("type").alias("operation"), "path"))

@@ -101,10 +101,18 @@ def apply_guard(spark, d):
     return ln.guarded(revisions(spark, d), F.md5(F.lit("3-0"))).select("id")
 
 
-@query("revision_succ", "SELECT conv_id, turn, concat('1.', CAST(conv_id AS STRING), '.', CAST(turn + 1 AS STRING)) AS next, 'a.b.1' AS letters FROM conversations")
+_LETTER = "chr(97 + (conv_id % 26)::INT)"
+
+
+@query("revision_succ", f"""SELECT conv_id, turn, '1.' || lpad(CAST(turn + 1 AS VARCHAR), CAST(greatest(3, length(CAST(turn + 1 AS VARCHAR))) AS INT), '0') AS next,
+'a.' || CASE WHEN {_LETTER} = 'z' THEN 'aa' ELSE chr(98 + (conv_id % 26)::INT) END AS letter,
+CASE WHEN {_LETTER} = 'z' THEN 'b-a' ELSE 'a-' || chr(98 + (conv_id % 26)::INT) END AS carried, 'rc' || CAST(turn + 1 AS VARCHAR) AS mixed FROM conversations""")
 def revision_succ(spark, d):
-    name = F.concat_ws(".", F.lit("1"), F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    return table(spark, d, "conversations").select("conv_id", "turn", ln.successor(name).alias("next"), ln.successor(F.lit("a.b")).alias("letters"))
+    t = table(spark, d, "conversations")
+    turn, digits = F.col("turn").cast("string"), F.greatest(F.lit(3), F.length(F.col("turn").cast("string")))
+    letter = F.char(F.lit(97) + F.col("conv_id") % 26)
+    names = {"next": F.concat(F.lit("1."), F.lpad(turn, digits, F.lit("0"))), "letter": F.concat(F.lit("a."), letter), "carried": F.concat(F.lit("a-"), letter), "mixed": F.concat(F.lit("rc"), turn)}
+    return t.select("conv_id", "turn", *[ln.successor(c).alias(n) for n, c in names.items()])
 
 
 @query("md_log", "SELECT conv_id, string_agg(CAST(turn AS STRING) || ':' || CAST(length(text) AS STRING), ' ' ORDER BY turn DESC) AS journal FROM conversations GROUP BY conv_id")

@@ -18,7 +18,7 @@ def random_tree(rnd):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_journal_turns_one_tree_into_the_other(spark, seed):
+def test_journal_turns_one_tree_into_the_other(spark, seed, tmp_path):
     rnd = random.Random(seed)
     a, b = random_tree(rnd), random_tree(rnd)
     for p in list(a)[:6]:  # moved files
@@ -28,11 +28,13 @@ def test_journal_turns_one_tree_into_the_other(spark, seed):
     frames = [spark.createDataFrame([(p, c, m) for p, (c, m) in t.items()], SNAP) for t in (a, b)]
     ops = ch.journal(*frames).cache()
     rows = ops.orderBy("seq").collect()
-    assert [r.seq for r in rows] == list(range(len(rows)))
+    files = [r for r in rows if r.type != "directory"]
+    assert [r.seq for r in files] == list(range(len(files))) and {r.seq for r in rows if r.type == "directory"} <= {len(files)}
     assert [ch.TYPES.index(r.type) for r in rows] == sorted(ch.TYPES.index(r.type) for r in rows)
     there = ch.apply_journal(frames[0], ops)
     assert {r.path: r.content for r in there.collect()} == {p: c for p, (c, _) in b.items()}
-    back = ch.apply_journal(there, ch.journal(frames[1], frames[0]))
+    ch.write_changeset(*frames, str(tmp_path))
+    back = ch.undo(ch.apply_journal(frames[0], ch.read_changeset(spark, str(tmp_path))), str(tmp_path))
     assert {r.path: r.content for r in back.collect()} == {p: c for p, (c, _) in a.items()}
     verdicts = {r.type: set() for r in rows}
     for r in ch.verdicts(ops, frames[0]).collect():
@@ -47,19 +49,30 @@ def test_verdict_table(spark):
     ops, want, n = [], {}, 0
     for kind, by_path in {"delete": {"same": 1, "other": -1, "none": 0}, "create": {"same": 0, "other": -1, "none": 1}, "delta": {"same": 1, "other": -1, "none": -1}}.items():
         for path, v in by_path.items():
-            ops.append((n, kind, path, None, md5("x"), [], []))
+            ops.append((n, kind, path, None, md5("x"), None))
             want[n], n = v, n + 1
     for path, to, v in (("same", "new", 1), ("other", "new", -1), ("none", "target", 0), ("none", "new", -1)):
-        ops.append((n, "move", path, to, md5("x"), [], []))
+        ops.append((n, "move", path, to, md5("x"), None))
         want[n], n = v, n + 1
-    df = spark.createDataFrame(ops, "seq int, type string, path string, to_path string, digest string, deleted_dirs array<string>, created_dirs array<string>")
+    df = spark.createDataFrame(ops, "seq int, type string, path string, to_path string, digest string, created boolean")
     assert {r.seq: r.verdict for r in ch.verdicts(df, state).collect()} == want
-    dirs = spark.createDataFrame([(0, "directory", "", None, None, ["d"], ["c"])], df.schema)
+    dirs = spark.createDataFrame([(0, "directory", "d", None, None, False), (0, "directory", "c", None, None, True)], df.schema)
     for have, v in ((["d", "c"], 1), (["c"], 0), ([], 1)):
         present = spark.createDataFrame([(x,) for x in have], "path string")
         assert ch.verdicts(dirs, state, present).first().verdict == v
     with pytest.raises(Exception, match="unknown operation"):
-        ch.verdicts(spark.createDataFrame([(0, "format", "same", None, "", [], [])], df.schema), state).collect()
+        ch.verdicts(spark.createDataFrame([(0, "format", "same", None, "", None)], df.schema), state).collect()
+
+
+def test_deltas_carry_the_edit_alone(spark):
+    """An edited word costs its delta, a new time without a new text nothing."""
+    text = "many words of a long text " * 400
+    a = spark.createDataFrame([("./a", text, 0), ("./b", text, 0), ("./c", "", 0)], SNAP)
+    b = spark.createDataFrame([("./a", text[:5000] + "EDIT" + text[5000:], 1), ("./b", text, 1), ("./c", "now", 1)], SNAP)
+    rows = {r.path: r for r in ch.journal(a, b).collect()}
+    assert rows["./a"].type == "delta" and rows["./a"].content is None and sum(len(o.data) for o in rows["./a"].ops if o.data) < 40
+    assert rows["./b"].type == "delta" and rows["./b"].ops is None and rows["./c"].type == "create"
+    assert sorted(map(tuple, ch.apply_journal(a, ch.journal(a, b)).collect())) == sorted(map(tuple, b.collect()))
 
 
 def test_unique_basename_is_needed_for_a_move(spark):
@@ -92,7 +105,20 @@ def test_lineage(spark):
     names = {r.id: r.name for r in ln.readable_names(df).collect()}
     assert names["7"] == "r" and names["b1"] == "r-b1"
     assert {r.id: r.children for r in ln.tree(df).collect()}["3"] == ["4", "b1", "b2"]
-    assert spark.range(1).select(ln.successor(F.lit("1.9"))).first()[0] == "1.10"
+
+
+def test_lineage_of_broken_trees(spark):
+    """Cycles have no root, a revision of an unknown parent is one."""
+    rows = [("a", ln.ROOT), ("b", "a"), ("o", "unknown"), ("p", "o"), ("x", "y"), ("y", "x"), ("z", "x"), ("s", "s")]
+    out = ln.depths(spark.createDataFrame(rows, "id string, parent_id string"))
+    assert sorted(map(tuple, out.collect())) == [("a", "a", 0), ("b", "a", 1), ("o", "o", 0), ("p", "o", 1), ("s", None, None), ("x", None, None), ("y", None, None), ("z", None, None)]
+    assert ln.depths(out.limit(0).select("id", F.col("root").alias("parent_id"))).collect() == []
+
+
+def test_successors(spark):
+    want = {"1.9": "1.10", "1.009": "1.010", "a.b": "a.c", "az": "ba", "9": "10", "zz99": "aaa00", "a!": "b!", "a-9": "a-10", "Zz": "AAa", "***": "**+", "<<koala>>": "<<koalb>>", "v1.": "v1.", "0.5.9": "0.5.10", "1.zz": "1.aaa", "-9": "-10", "rc1": "rc2", "": ""}
+    got = spark.createDataFrame([(k,) for k in want], "n string").select("n", ln.successor(F.col("n")).alias("s")).collect()
+    assert {r.n: r.s for r in got} == want
 
 
 def test_files(spark, tmp_path):
