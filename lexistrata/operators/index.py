@@ -5,8 +5,11 @@ postings: word, id, score. Every operator returns new DataFrames; nothing is cha
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,11 +77,14 @@ def build(df: DataFrame, id_col: str, uri: Column, text_col: str, attrs: Column
     return Index(documents(df, id_col, uri, text_col, attrs, wmax), postings(df, id_col, text_col))
 
 
-def put(index: Index, new: DataFrame, over: bool = True) -> Index:
+def put(index: Index, new: DataFrame, over: bool = True, order: str | None = None) -> Index:
     """Upsert: new has uri, attrs, nwords, awords. Known uris are replaced (over) or left as they are; new ids follow the
-    largest id. Replaced ids leave their postings until purge.
+    largest id. Replaced ids leave their postings until purge. Of an uri that comes more than once, the row with the largest
+    `order` is put (the smallest where known uris stay); without a column of that kind, one of them.
 
     Ids come from ranks inside hash buckets of the uri plus the buckets' offsets, so no single task sorts all new rows."""
+    pick = F.max_by if over else F.min_by
+    new = new.groupBy("uri").agg(pick(F.struct("attrs", "nwords", "awords"), F.col(order) if order else F.size("nwords")).alias("d")).select("uri", "d.*")
     known = index.docs.select("uri")
     fresh = new if over else new.join(known, "uri", "left_anti")
     old = index.docs.join(fresh.select("uri"), "uri", "left_anti") if over else index.docs
@@ -104,14 +110,18 @@ def purge(index: Index) -> Index:
 
 def optimize(index: Index, partitions: int | None = None) -> Index:
     """Purge, then lay postings out by word with the best scores first: files' statistics then prune look-ups of a word."""
-    clean = purge(index).postings
-    laid = clean.repartitionByRange(partitions, "word", "id") if partitions else clean.repartitionByRange("word", "id")
-    return Index(index.docs, laid.sortWithinPartitions("word", F.desc("score"), "id"))
+    return Index(index.docs, ranged_by_word(purge(index).postings, partitions))
 
 
-def merge(catalogs: list[Index]) -> Index:
+def ranged_by_word(posts: DataFrame, partitions: int | None = None) -> DataFrame:
+    laid = posts.repartitionByRange(partitions, "word", "id") if partitions else posts.repartitionByRange("word", "id")
+    return laid.sortWithinPartitions("word", F.desc("score"), "id")
+
+
+def merge(catalogs: list[Index], purged: bool = False) -> Index:
     """One index of several: the ids of each are moved beyond the largest of those before; of equal uris the first catalog's
-    document stays, and the others' postings until purge."""
+    document stays, and the others' postings until purge, or go with `purged`: only the ids that lost, few against the postings,
+    are joined with these."""
     docs, posts, tops = None, None, None
     for k, c in enumerate(catalogs):
         top = c.docs.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("top")).withColumn("k", F.lit(k))
@@ -120,11 +130,12 @@ def merge(catalogs: list[Index]) -> Index:
     for k, c in enumerate(catalogs):
         d, p = c.docs.withColumn("k", F.lit(k)), c.postings.withColumn("k", F.lit(k))
         docs, posts = (d, p) if docs is None else (docs.unionByName(d), posts.unionByName(p))
-    docs = docs.join(F.broadcast(bases), "k").withColumn("id", F.col("id") + F.col("base"))  # one row for each catalog
-    posts = posts.join(F.broadcast(bases), "k").select("word", (F.col("id") + F.col("base")).alias("id"), "score")
-    first = docs.groupBy("uri").agg(F.min("k").alias("k"))
-    docs = docs.join(first, ["uri", "k"], "left_semi").select("id", "uri", "attrs", "nwords", "awords")
-    return Index(docs, posts)
+    first = docs.groupBy("uri").agg(F.min("k").alias("first"), F.count("*").alias("n")).where("n > 1")
+    lost = docs.select("id", "uri", "k").join(first, "uri").where("k <> first").select("k", "id")
+    docs, posts = docs.join(lost, ["k", "id"], "left_anti"), posts.join(lost, ["k", "id"], "left_anti") if purged else posts
+    moved = F.col("id") + F.col("base")
+    docs = docs.join(F.broadcast(bases), "k").select(moved.alias("id"), "uri", "attrs", "nwords", "awords")  # one row for each catalog
+    return Index(docs, posts.join(F.broadcast(bases), "k").select("word", moved.alias("id"), "score"))
 
 
 def document_frequency(posts: DataFrame) -> DataFrame:
@@ -142,27 +153,59 @@ def keywords(docs: DataFrame, most: int, df_table: DataFrame | None = None) -> D
 
     A weight is 10000 for each occurrence in the stored words; the floor(1.75 most) best (weight, then longer, then bytes)
     are kept, divided by the document frequency's term of 8 at least (with df_table), and ranked again."""
-    rows = docs.select("id", F.explode("nwords").alias("word")).where("word <> ''").groupBy("id", "word").agg((F.count("*") * OCCURRENCE).alias("num"))
-    order = [F.desc("num"), F.desc(F.octet_length("word")), F.col("word")]
-    by_doc = Window.partitionBy("id").orderBy(*order)
-    pool = rows.withColumn("r", F.row_number().over(by_doc)).where(F.col("r") <= int(KEYWORD_POOL * most)).drop("r")
+    pool = _pools(docs, int(KEYWORD_POOL * most))
+    by_doc = Window.partitionBy("id").orderBy(F.desc("num"), F.desc(F.octet_length("word")), F.col("word"))
     if df_table is not None:
         d = length_term(F.coalesce("df", F.lit(0)))
         pool = pool.join(df_table, "word", "left").withColumn("num", F.when(F.col("df").isNull(), F.lit(0)).otherwise((F.col("num") / d).cast("long"))).drop("df")
     return pool.withColumn("rank", F.row_number().over(by_doc)).where(F.col("rank") <= most).select("id", "rank", "word", "num")
 
 
-def similarity(keys: DataFrame) -> DataFrame:
-    """Cosine of keyword vectors of documents that share a keyword: a, b (a < b), dot, cosine.
-
-    keys is keywords' result: `most` rows for each document, so a vector is bounded; a pair exists only where a keyword is
-    shared. Very common keywords make many pairs; give keywords weighed by document frequency, which pushes them out."""
-    norms = keys.groupBy("id").agg(F.sqrt(F.sum(F.col("num") * F.col("num")).cast("double")).alias("norm"))
-    a = keys.select(F.col("id").alias("a"), "word", F.col("num").alias("na"))
-    b = keys.select(F.col("id").alias("b"), "word", F.col("num").alias("nb"))
-    dots = a.join(b, "word").where("a < b").groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("dot"))
-    n1, n2 = norms.select(F.col("id").alias("a"), F.col("norm").alias("x")), norms.select(F.col("id").alias("b"), F.col("norm").alias("y"))
-    return dots.join(n1, "a").join(n2, "b").select("a", "b", "dot", F.greatest(F.lit(0.0), F.col("dot") / (F.col("x") * F.col("y"))).alias("cosine"))
+def _pools(docs: DataFrame, size: int) -> DataFrame:
+    """id, word, num: the `size` heaviest words of each document, counted and chosen in the task that reads it. A batch's words are
+    numbered once and counted as pairs of numbers, so no word is handled by itself and none but the chosen are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat = lists.flatten().dictionary_encode()
+            names = flat.dictionary.to_pylist()
+            place = np.empty(len(names), np.int64)  # longer words first, then by bytes
+            place[sorted(range(len(names)), key=lambda i: (-len(names[i].encode()), names[i].encode()))] = np.arange(len(names))
+            codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            pairs, n = np.unique(np.repeat(np.arange(b.num_rows), sizes) * max(1, len(names)) + codes, return_counts=True)
+            row, code = np.divmod(pairs, max(1, len(names)))
+            named = np.array([w != "" for w in names], bool)[code]
+            row, code, n = row[named], code[named], n[named]
+            order = np.lexsort((place[code], -n, row))
+            row, code, n = row[order], code[order], n[order]
+            chosen = np.arange(len(row)) - np.searchsorted(row, row) < size
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[chosen])), flat.dictionary.take(pa.array(code[chosen])), pa.array(n[chosen] * OCCURRENCE)], ["id", "word", "num"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "nwords").mapInArrow(run, f"id {kind}, word string, num long")
+
+
+def similarity(keys: DataFrame, least: float = 0.5) -> DataFrame:
+    """Cosine of keyword vectors: a, b (a < b), dot, cosine of the pairs of documents that reach `least`.
+
+    keys is keywords' result, a few rows for each document. Words are ordered by how few documents have them; a vector whose
+    words from some place on have less than `least` of its length cannot reach it by these alone, so only the words before are
+    joined: a word that many documents have stays out of the join unless it carries a vector. Candidates are verified whole."""
+    common = keys.groupBy("word").agg(F.count("*").alias("df"))
+    entry = F.struct("df", "word", F.col("num").cast("double").alias("num"))
+    vectors = keys.join(common, "word").groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("v"))
+    square = lambda v: F.aggregate(v, F.lit(0.0), lambda a, e: a + e["num"] * e["num"])
+    vectors = vectors.withColumn("x", F.sqrt(square(F.col("v")))).where("x > 0")
+    begins = F.filter(F.sequence(F.lit(1), F.size("v")), lambda i: F.sqrt(square(F.slice("v", i, F.size("v")))) >= F.lit(least - 1e-9) * F.col("x"))
+    heads = vectors.select("id", F.explode(F.transform(begins, lambda i: F.element_at("v", i)["word"])).alias("word"))
+    a, b = heads.withColumnRenamed("id", "a"), heads.withColumnRenamed("id", "b")
+    pairs = a.join(b, "word").where("a < b").select("a", "b").distinct()
+    va, vb = vectors.select(F.col("id").alias("a"), F.col("v").alias("p"), F.col("x").alias("xa")), vectors.select(F.col("id").alias("b"), F.map_from_entries(F.transform("v", lambda e: F.struct(e["word"], e["num"]))).alias("q"), F.col("x").alias("xb"))
+    dot = F.aggregate("p", F.lit(0.0), lambda s, e: s + e["num"] * F.coalesce(F.try_element_at("q", e["word"]), F.lit(0.0)))
+    out = pairs.join(va, "a").join(vb, "b").select("a", "b", dot.alias("dot"), (dot / (F.col("xa") * F.col("xb"))).alias("cosine"))
+    return out.where(F.col("cosine") >= least - 1e-9).select("a", "b", F.col("dot").cast("long").alias("dot"), "cosine")
 
 
 def stats(index: Index) -> DataFrame:

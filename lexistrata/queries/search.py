@@ -10,6 +10,7 @@ from lexistrata.functions.vectors import cosine, dot, norm
 from lexistrata.operators import index as ix
 from lexistrata.plans import boolean, find
 from lexistrata.queries.common import ALPHABET, NORM, POSTINGS, TERM, Query, log_sql, normal_sql, quoted, table, tokens_sql
+from lexistrata.sources import catalog, storage
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -36,10 +37,21 @@ def posts_of(spark: SparkSession, d: str) -> DataFrame:
 URI = "concat(coalesce(lang, ''), '/', doc_id)"
 
 
+_ATTRS = "map('lang', lang, 'source', source)"
+
+
 def index_of(spark: SparkSession, d: str, wmax: int = -1) -> ix.Index:
-    docs = docs_of(spark, d)
-    attrs = F.create_map(F.lit("lang"), "lang", F.lit("source"), "source")
-    return ix.build(docs, "doc_id", F.expr(URI), "text", attrs, wmax)
+    """An index of the documents as they are."""
+    return ix.build(docs_of(spark, d), "doc_id", F.expr(URI), "text", F.expr(_ATTRS), wmax)
+
+
+def saved(spark: SparkSession, d: str, where: str = "true") -> ix.Index:
+    """The saved catalog of the documents: made once, by the first query that opens it."""
+    return catalog.opened(spark, f"{d} {where}", lambda path: catalog.index_texts(docs_of(spark, d).where(where), path, "doc_id", F.expr(URI), "text", F.expr(_ATTRS)))
+
+
+def saved_posts(spark: SparkSession, d: str) -> DataFrame:
+    return saved(spark, d).postings
 
 
 # --- analysis and postings ---
@@ -99,27 +111,27 @@ def postings_list(spark, d):
 
 @query("doc_freq", f"WITH {POSTINGS} SELECT word, count(*) AS df FROM postings GROUP BY word")
 def doc_freq(spark, d):
-    return ix.document_frequency(posts_of(spark, d))
+    return ix.document_frequency(saved_posts(spark, d))
 
 
 @query("index_stats", f"WITH {POSTINGS} SELECT (SELECT count(*) FROM documents) AS doc_count, (SELECT max(doc_id) FROM documents) AS max_id, count(DISTINCT word) AS word_count, count(*) AS posting_count, CAST(sum(score) AS BIGINT) AS score_sum FROM postings")
 def index_stats(spark, d):
-    return ix.stats(index_of(spark, d))
+    return ix.stats(saved(spark, d))
 
 
 @query("search_word", f"WITH {POSTINGS} SELECT id, score FROM postings WHERE word = 'the'")
 def search_word(spark, d):
-    return ix.search(posts_of(spark, d), "the")
+    return ix.search(saved_posts(spark, d), "the")
 
 
 @query("search_topk", f"WITH {POSTINGS} SELECT id, score FROM postings WHERE word = 'the' ORDER BY score DESC, id LIMIT 25")
 def search_topk(spark, d):
-    return ix.search(posts_of(spark, d), "the", 25)
+    return ix.search(saved_posts(spark, d), "the", 25)
 
 
 @query("query_term", f"WITH {TERM} SELECT word, id, score FROM term WHERE word IN ('the', 'and', 'der', 'of')")
 def query_term(spark, d):
-    return boolean.weighed(posts_of(spark, d), ["the", "and", "der", "of"])
+    return boolean.weighed(saved_posts(spark, d), ["the", "and", "der", "of"])
 
 
 # --- boolean queries: the oracle joins id sets, the engine aggregates once ---
@@ -155,7 +167,7 @@ _BOOLEAN = {
 
 
 def _boolean(text: str) -> Query:
-    return lambda spark, d: boolean.run(text, posts_of(spark, d))[0]
+    return lambda spark, d: boolean.run(text, saved_posts(spark, d))[0]
 
 
 for _name, (_text, _sql) in _BOOLEAN.items():
@@ -184,7 +196,7 @@ def query_errors(spark, d):
 
 @query("result_page", f"WITH {TERM}, r AS (SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) - 1 AS INT) AS rank FROM {_or(_the, _der)}) SELECT rank, id, score FROM r WHERE rank >= 10 AND rank < 30")
 def result_page(spark, d):
-    return boolean.page(boolean.compile(boolean.parse("the | der").tree, posts_of(spark, d)), 10, 20)
+    return boolean.page(boolean.compile(boolean.parse("the | der").tree, saved_posts(spark, d)), 10, 20)
 
 
 # --- display ---
@@ -195,13 +207,13 @@ _FIND_SQL = _not(_and(_the, _and_), _of)
 
 @query("find_flagship", f"WITH {TERM} SELECT id, score FROM {_FIND_SQL} ORDER BY score DESC, id LIMIT 20")
 def find_flagship(spark, d):
-    return boolean.run(_FIND, posts_of(spark, d))[0].limit(20)
+    return boolean.run(_FIND, saved_posts(spark, d))[0].limit(20)
 
 
 @query("find_files_regex", f"WITH {TERM} SELECT r.id, r.score, {URI} AS uri FROM {_or(_the, _der)} r JOIN documents ON doc_id = r.id WHERE regexp_matches({URI}, '^(en|de)/.*7$')")
 def find_files_regex(spark, d):
     docs = docs_of(spark, d).select(F.col("doc_id").alias("id"), F.expr(URI).alias("uri"))
-    return find.filter_uris(boolean.compile(boolean.parse("the | der").tree, posts_of(spark, d)), docs, "^(en|de)/.*7$").select("id", "score", "uri")
+    return find.filter_uris(boolean.compile(boolean.parse("the | der").tree, saved_posts(spark, d)), docs, "^(en|de)/.*7$").select("id", "score", "uri")
 
 
 _LINES = "lines AS (SELECT id, CAST(generate_subscripts(l, 1) AS INT) AS line_no, unnest(l) AS line FROM (SELECT doc_id AS id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))"
@@ -219,14 +231,14 @@ query("find_lines_grep", f"WITH {_LINES} SELECT id, line_no, line FROM lines WHE
 
 @query("find_summary", f"WITH t AS (SELECT doc_id AS id, [{normal_sql('x')} for x in {tokens_sql('text')}] AS n FROM documents), p AS (SELECT id, CASE WHEN list_position(n, 'the') > 0 THEN array_to_string(list_slice(n, list_position(n, 'the'), list_position(n, 'the') + 7), ' ') END AS a, CASE WHEN list_position(n, 'der') > 0 THEN array_to_string(list_slice(n, list_position(n, 'der'), list_position(n, 'der') + 7), ' ') END AS b FROM t) SELECT id, concat_ws(' ... ', a, b) AS summary FROM p")
 def find_summary(spark, d):
-    docs = index_of(spark, d).docs
+    docs = saved(spark, d).docs
     return docs.select("id", find.summary(F.col("nwords"), ["the", "der"], 8).alias("summary"))
 
 
 @query("find_counts", f"WITH {TERM}, r AS (SELECT id FROM {_the}) SELECT count(*) FILTER (WHERE regexp_matches({URI}, '^en/')) AS shown, count(*) AS scanned, (SELECT count(*) FROM documents) AS total FROM r JOIN documents ON doc_id = r.id")
 def find_counts(spark, d):
     docs = docs_of(spark, d).select(F.col("doc_id").alias("id"), F.expr(URI).alias("uri"))
-    return find.counts(boolean.compile(boolean.parse("the").tree, posts_of(spark, d)), docs, "^en/")
+    return find.counts(boolean.compile(boolean.parse("the").tree, saved_posts(spark, d)), docs, "^en/")
 
 
 # --- catalog ---
@@ -234,8 +246,7 @@ def find_counts(spark, d):
 
 @query("catalog_open", f"SELECT doc_id AS id, {URI} AS uri, len({tokens_sql('text')}) AS words FROM documents")
 def catalog_open(spark, d):
-    from lexistrata.sources import catalog, storage
-
+    """A catalog saved from an index, and opened."""
     path = storage.scratch(spark, "catalog")
     catalog.save(index_of(spark, d), path)
     return catalog.load(spark, path).docs.select("id", "uri", F.size("nwords").cast("long").alias("words"))
@@ -243,7 +254,7 @@ def catalog_open(spark, d):
 
 @query("doc_scan", f"SELECT doc_id AS id, {URI} AS uri, lang FROM documents")
 def doc_scan(spark, d):
-    return index_of(spark, d).docs.select("id", "uri", F.col("attrs")["lang"].alias("lang"))
+    return saved(spark, d).docs.select("id", "uri", F.col("attrs")["lang"].alias("lang"))
 
 
 _SOME = "'en/1', 'fr/3', 'de/20', 'xx/0'"
@@ -251,13 +262,13 @@ _SOME = "'en/1', 'fr/3', 'de/20', 'xx/0'"
 
 @query("doc_get_by_uri", f"SELECT doc_id AS id, {URI} AS uri, source FROM documents WHERE {URI} IN ({_SOME})")
 def doc_get_by_uri(spark, d):
-    docs = index_of(spark, d).docs
+    docs = saved(spark, d).docs
     return docs.where(f"uri in ({_SOME})").select("id", "uri", F.col("attrs")["source"].alias("source"))
 
 
 @query("doc_get_by_id", f"SELECT doc_id AS id, array_to_string([CASE WHEN {normal_sql('x')} = substr(x, 1, 49) THEN {normal_sql('x')} ELSE substr(x, 1, 49) END for x in {tokens_sql('text')}], ' ') AS awords FROM documents WHERE doc_id = 7")
 def doc_get_by_id(spark, d):
-    docs = index_of(spark, d).docs.where("id = 7")
+    docs = saved(spark, d).docs.where("id = 7")
     stored = F.zip_with("nwords", "awords", lambda n, a: F.when(n != a, a))  # as-is forms that equal the normal ones are not stored
     return docs.select("id", F.array_join(F.zip_with("nwords", stored, lambda n, a: F.coalesce(a, n)), " ").alias("awords"))
 
@@ -277,7 +288,7 @@ def doc_check(spark, d):
 
 @query("doc_attr", "SELECT doc_id AS id, lang, CAST(n_chars AS VARCHAR) AS size, 'x' || source AS source FROM documents")
 def doc_attr(spark, d):
-    docs = index_of(spark, d).docs.join(docs_of(spark, d).select(F.col("doc_id").alias("id"), "n_chars"), "id")
+    docs = saved(spark, d).docs.join(docs_of(spark, d).select(F.col("doc_id").alias("id"), "n_chars"), "id")
     put = F.map_concat(F.map_filter("attrs", lambda k, v: ~k.isin("size", "source")), F.create_map(F.lit("size"), F.col("n_chars").cast("string"), F.lit("source"), F.concat(F.lit("x"), F.col("attrs")["source"])))
     return docs.select("id", put.alias("a")).select("id", *[F.col("a")[k].alias(k) for k in ("lang", "size", "source")])
 
@@ -293,34 +304,32 @@ _GONE = "doc_id % 19 = 0"  # the deleted documents of the fixtures
 @query("doc_delete", f"WITH {POSTINGS} SELECT (SELECT count(*) FROM documents WHERE NOT ({_GONE})) AS docs, count(*) AS postings FROM postings")
 def doc_delete(spark, d):
     gone = docs_of(spark, d).where(_GONE).select(F.expr(URI).alias("uri"))
-    left = ix.delete(index_of(spark, d), gone)
+    left = ix.delete(saved(spark, d), gone)
     return left.docs.agg(F.count("*").alias("docs")).join(F.broadcast(left.postings.agg(F.count("*").alias("postings"))))
 
 
 @query("index_purge", f"WITH {POSTINGS} SELECT word, id, score FROM postings WHERE NOT (id % 19 = 0)")
 def index_purge(spark, d):
     gone = docs_of(spark, d).where(_GONE).select(F.expr(URI).alias("uri"))
-    return ix.purge(ix.delete(index_of(spark, d), gone)).postings
+    return ix.purge(ix.delete(saved(spark, d), gone)).postings
 
 
 @query("index_optimize", f"WITH {POSTINGS} SELECT word, count(*) AS df, max(score) AS best FROM postings WHERE NOT (id % 19 = 0) GROUP BY word")
 def index_optimize(spark, d):
     gone = docs_of(spark, d).where(_GONE).select(F.expr(URI).alias("uri"))
-    return ix.optimize(ix.delete(index_of(spark, d), gone)).postings.groupBy("word").agg(F.count("*").alias("df"), F.max("score").alias("best"))
+    return ix.optimize(ix.delete(saved(spark, d), gone)).postings.groupBy("word").agg(F.count("*").alias("df"), F.max("score").alias("best"))
 
 
 def _catalogs(spark, d) -> list[ix.Index]:
-    docs = docs_of(spark, d)
-    some = [docs.where("doc_id % 3 = 0"), docs.where("doc_id % 3 = 1 or doc_id % 10 = 0"), docs.where("doc_id % 3 = 2")]
-    return [ix.build(x, "doc_id", F.expr(URI), "text") for x in some]
+    return [saved(spark, d, w) for w in ("doc_id % 3 = 0", "doc_id % 3 = 1 or doc_id % 10 = 0", "doc_id % 3 = 2")]
 
 
 _MERGED = f"""{POSTINGS},
 cat AS (SELECT 0 AS k, doc_id, {URI} AS uri FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 1, doc_id, {URI} FROM documents WHERE doc_id % 3 = 1 OR doc_id % 10 = 0 UNION ALL SELECT 2, doc_id, {URI} FROM documents WHERE doc_id % 3 = 2),
 tops AS (SELECT k, max(doc_id) AS top FROM cat GROUP BY k),
 bases AS (SELECT k, coalesce(sum(top) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM tops),
-mdocs AS (SELECT CAST(doc_id + base AS BIGINT) AS id, uri FROM cat JOIN bases USING (k) QUALIFY row_number() OVER (PARTITION BY uri ORDER BY k) = 1),
-mposts AS (SELECT word, CAST(p.id + base AS BIGINT) AS id, score FROM cat JOIN bases USING (k) JOIN postings p ON p.id = doc_id)"""
+mdocs AS (SELECT k, CAST(doc_id + base AS BIGINT) AS id, uri FROM cat JOIN bases USING (k) QUALIFY row_number() OVER (PARTITION BY uri ORDER BY k) = 1),
+mposts AS (SELECT k, word, CAST(p.id + base AS BIGINT) AS id, score FROM cat JOIN bases USING (k) JOIN postings p ON p.id = doc_id)"""
 
 
 @query("catalog_merge", f"WITH {_MERGED} SELECT word, id, score FROM mposts")
@@ -328,9 +337,9 @@ def catalog_merge(spark, d):
     return ix.merge(_catalogs(spark, d)).postings
 
 
-@query("catalog_merge_purged", f"WITH {_MERGED} SELECT word, mposts.id, score, uri FROM mposts JOIN mdocs USING (id)")
+@query("catalog_merge_purged", f"WITH {_MERGED} SELECT word, mposts.id, score, uri FROM mposts JOIN mdocs USING (k, id)")
 def catalog_merge_purged(spark, d):
-    m = ix.purge(ix.merge(_catalogs(spark, d)))
+    m = ix.merge(_catalogs(spark, d), purged=True)
     return m.postings.join(m.docs.select("id", "uri"), "id").select("word", "id", "score", "uri")
 
 
@@ -372,18 +381,18 @@ kw AS (SELECT id, CAST(row_number() OVER ({order}) AS INT) AS rank, word, num FR
 
 @query("doc_keywords", f"WITH {_keywords_sql(True, 8)} SELECT id, rank, word, num FROM kw")
 def doc_keywords(spark, d):
-    i = index_of(spark, d)
+    i = saved(spark, d)
     return ix.keywords(i.docs, 8, ix.document_frequency(i.postings))
 
 
 @query("doc_keywords_noidf", f"WITH {_keywords_sql(False, 8)} SELECT id, rank, word, num FROM kw")
 def doc_keywords_noidf(spark, d):
-    return ix.keywords(index_of(spark, d).docs, 8)
+    return ix.keywords(saved(spark, d).docs, 8)
 
 
-@query("doc_similarity", f"WITH {_keywords_sql(True, 8)}, norms AS (SELECT id, sqrt(sum(num * num)) AS x FROM kw GROUP BY id), dots AS (SELECT p.id AS a, q.id AS b, CAST(sum(p.num * q.num) AS BIGINT) AS dot FROM kw p JOIN kw q ON p.word = q.word AND p.id < q.id GROUP BY p.id, q.id) SELECT a, b, dot, round(dot / (m.x * n.x), 6) AS cosine FROM dots JOIN norms m ON m.id = a JOIN norms n ON n.id = b")
+@query("doc_similarity", f"WITH {_keywords_sql(True, 8)}, norms AS (SELECT id, sqrt(sum(num * num)) AS x FROM kw GROUP BY id), dots AS (SELECT p.id AS a, q.id AS b, CAST(sum(p.num * q.num) AS BIGINT) AS dot FROM kw p JOIN kw q ON p.word = q.word AND p.id < q.id GROUP BY p.id, q.id) SELECT a, b, dot, round(dot / (m.x * n.x), 6) AS cosine FROM dots JOIN norms m ON m.id = a JOIN norms n ON n.id = b WHERE dot / (m.x * n.x) >= 0.5 - 1e-9")
 def doc_similarity(spark, d):
-    i = index_of(spark, d)
+    i = saved(spark, d)
     return ix.similarity(ix.keywords(i.docs, 8, ix.document_frequency(i.postings))).withColumn("cosine", F.round("cosine", 6))
 
 
