@@ -73,3 +73,9 @@ def parse(text: Column) -> Column:
     dated = F.transform(F.array(fields), lambda f: F.when(f.isNotNull(), seconds(f)))[0]  # binds the fields once
     value = F.when(t.rlike(r"^-?\d+$"), t.try_cast("bigint")).when(t.rlike("^0[xX][0-9A-Fa-f]+$"), F.conv(F.substr(t, F.lit(3)), 16, 10).try_cast("bigint")).otherwise(dated)
     return F.coalesce(value, F.lit(-1).cast("long"))
+
+
+def jetlag(seconds: Column, zone: str | Column) -> Column:
+    """The zone's offset from UTC in seconds at that time."""
+    wall = F.convert_timezone(F.lit("UTC"), F.lit(zone) if isinstance(zone, str) else zone, _at(seconds))
+    return F.timestamp_diff("SECOND", _at(seconds), wall)

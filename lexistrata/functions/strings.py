@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexistrata.functions.text import LOWER, UPPER, fold
 
@@ -110,3 +114,37 @@ def crc32(s: Column) -> Column:
 def transcode(s: Column, charset: str = "ISO-8859-1") -> Column:
     """Through another character set and back; characters that it lacks become `?`."""
     return F.decode(F.encode(F.regexp_replace(s, "[^\\x00-\\xff]", "?"), charset), charset)
+
+
+#: zlib's window bits by format.
+_FORMATS = {"zlib": 15, "raw": -15, "gzip": 31}
+
+
+def deflate(data: Column, kind: str = "zlib") -> Column:
+    """The data compressed: with a zlib header, raw, or as gzip."""
+
+    @F.pandas_udf(T.BinaryType())
+    def run(values: pd.Series) -> pd.Series:
+        def one(v: bytes) -> bytes:
+            c = zlib.compressobj(wbits=_FORMATS[kind])
+            return c.compress(v) + c.flush()
+
+        return pd.Series([None if v is None else one(bytes(v)) for v in values])
+
+    return run(data.cast("binary"))
+
+
+def inflate(data: Column, kind: str = "zlib") -> Column:
+    """Compressed data as it was; null where it is broken."""
+
+    @F.pandas_udf(T.BinaryType())
+    def run(values: pd.Series) -> pd.Series:
+        def one(v: bytes) -> bytes | None:
+            try:
+                return zlib.decompress(v, _FORMATS[kind])
+            except zlib.error:
+                return None
+
+        return pd.Series([None if v is None else one(bytes(v)) for v in values])
+
+    return run(data.cast("binary"))

@@ -9,7 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A token's as-is form is cut at this length.
+#: A token's as-is form is cut at this length. Lengths of tokens count characters here, so a word of accented letters is never cut
+#: inside one and is as long as it looks.
 LONGEST = 49
 
 

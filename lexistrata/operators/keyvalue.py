@@ -33,10 +33,22 @@ def put_cat(store: DataFrame, batch: DataFrame, sep: str = "") -> DataFrame:
     return concatenated(rows, sep)
 
 
+#: Records of a key that are sorted as one part.
+PART = 4096
+
+
+def _parts(rows: DataFrame, join) -> DataFrame:
+    """key, and what `join` makes of the key's values in the order of seq (nulls first): parts of PART numbers of seq by
+    themselves, then the parts, so that no task sorts all records of a hot key."""
+    seq = F.coalesce(F.col("seq").cast("long"), F.lit(-(1 << 62)))
+    part = F.floor(seq / PART)
+    by_part = rows.groupBy("key", part.alias("_p")).agg(F.sort_array(F.collect_list(F.struct(seq.alias("seq"), "value"))).getField("value").alias("_v"))
+    return by_part.groupBy("key").agg(join(F.flatten(F.sort_array(F.collect_list(F.struct("_p", "_v"))).getField("_v"))))
+
+
 def concatenated(rows: DataFrame, sep: str = "") -> DataFrame:
     """Each key's values joined in the order of seq, nulls of seq first."""
-    in_order = F.sort_array(F.collect_list(F.struct(F.coalesce("seq", F.lit(-(1 << 62))).alias("seq"), "value")))
-    return rows.groupBy("key").agg(F.array_join(F.transform(in_order, lambda x: x["value"]), sep).alias("value"))
+    return _parts(rows, lambda v: F.array_join(v, sep).alias("value"))
 
 
 def remove(store: DataFrame, keys: DataFrame) -> DataFrame:
@@ -58,7 +70,7 @@ def remove_first(multi: DataFrame) -> DataFrame:
 
 def value_lists(multi: DataFrame) -> DataFrame:
     """key, values: each key's values in order."""
-    return multi.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("seq", "value"))).getField("value").alias("values"))
+    return _parts(multi, lambda v: v.alias("values"))
 
 
 def key_range(store: DataFrame, low: Column, high: Column) -> DataFrame:
@@ -96,7 +108,44 @@ ORDERS = {
 }
 
 
-def hash_31(key: Column, start: int, factor: int) -> Column:
-    """A polynomial hash of the key's bytes (ASCII), 31 bits: what a hash-partitioned store deals records by."""
-    codes = F.transform(F.split(key, ""), lambda c: F.ascii(c).cast("long"))
-    return F.aggregate(F.filter(codes, lambda c: c > 0), F.lit(start).cast("long"), lambda h, c: (h * factor + c).bitwiseAND(F.lit((1 << 32) - 1))).bitwiseAND(F.lit((1 << 31) - 1))
+def described(store: DataFrame) -> DataFrame:
+    """key, size and md5 of every value, large binaries included."""
+    return store.select("key", F.octet_length("value").alias("size"), F.md5("value").alias("digest"))
+
+
+_MASK32, _MASK31 = (1 << 32) - 1, (1 << 31) - 1
+
+
+def _key_bytes(key: Column) -> Column:
+    return F.transform(F.regexp_extract_all(F.hex(F.encode(key, "utf-8")), F.lit(".."), F.lit(0)), lambda h: F.conv(h, 16, 10).cast("long"))
+
+
+def _polynomial(codes: Column, start: Column, factor: int, scale: int) -> Column:
+    summed = F.aggregate(codes, start.cast("long"), lambda h, c: (h * factor + c).bitwiseAND(F.lit(_MASK32)))
+    return (summed * scale).bitwiseAND(F.lit(_MASK31))
+
+
+# Starts, factors and scales of the three hash functions of a hash store.
+def inner_hash(key: Column) -> Column:
+    """31 bits: the record's bucket. Keys of four bytes start from these as a little-endian number."""
+    codes = _key_bytes(key)
+    word = F.get(codes, 0) + F.get(codes, 1) * 256 + F.get(codes, 2) * 65536 + F.get(codes, 3) * 16777216
+    return _polynomial(codes, F.when(F.size(codes) == 4, word).otherwise(751), 31, 87767623)
+
+
+def second_hash(key: Column) -> Column:
+    """31 bits: the order of records in a bucket. Bytes are taken from the last on."""
+    return _polynomial(F.reverse(_key_bytes(key)), F.lit(19780211), 37, 43321879)
+
+
+def outer_hash(key: Column) -> Column:
+    """31 bits: the partition of a store of several files. Bytes are taken from the last on."""
+    return _polynomial(F.reverse(_key_bytes(key)), F.lit(774831917), 29, 5157883)
+
+
+def prime_at_least(n: Column) -> Column:
+    """The smallest prime number not less than n (2 at least): what a hash table of n buckets is sized by. n may be some ten million;
+    gaps between primes are below 300 there."""
+    is_prime = lambda x: ~F.exists(F.when(x < 4, F.array().cast("array<long>")).otherwise(F.sequence(F.lit(2).cast("long"), F.floor(F.sqrt(x)))), lambda d: x % d == 0)
+    low = F.greatest(n.cast("long"), F.lit(2).cast("long"))
+    return F.aggregate(F.sequence(low, low + 300), F.lit(None).cast("long"), lambda found, x: F.when(found.isNotNull(), found).when(is_prime(x), x))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lexistrata.operators import changes as ch
 from lexistrata.operators.delta import delta_stats
 from lexistrata.queries.common import Query, table
-from lexistrata.sources import storage
+from lexistrata.sources import mail, storage
+from lexistrata.sources.files import tree
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -217,17 +218,32 @@ def verify_digests(spark, d):
     return ch.broken_contents(a.join(b.select("path", F.md5("content").alias("digest")), "path")).select("path")
 
 
-@query("tree_scan", f"WITH {SNAPSHOTS} SELECT path FROM snapshot_a WHERE NOT regexp_matches(regexp_replace(path, '^\\./', ''), '(^|/)\\.[^/]|(^|/)CVS(/|$)')")
+def written_tree(spark, d) -> str:
+    """Files below a new folder: one for each language and source, and some in hidden folders and CVS."""
+    root = storage.scratch(spark, "tree")
+    docs = table(spark, d, "documents").select("lang", "source", F.col("text").alias("value"))
+    docs.repartition("lang", "source").write.partitionBy("lang", "source").text(f"{root}/src")
+    for hidden in (".hidden", "CVS", "src/x/.y"):
+        docs.limit(1).select("value").coalesce(1).write.text(f"{root}/{hidden}")
+    return root
+
+
+_TREE = "SELECT './src/lang=' || lang || '/source=' || source AS folder, 1 AS files, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents {} GROUP BY lang, source"
+
+
+def _folders(files: DataFrame) -> DataFrame:
+    return files.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(F.count("*").cast("int").alias("files"), F.sum("size").alias("bytes"))
+
+
+@query("tree_scan", _TREE.format(""))
 def tree_scan(spark, d):
-    a = snapshot_a(spark, d).select("path")
-    odd = a.select(F.explode(F.array(*[F.concat(F.lit(p), F.col("path")) for p in ("./.hidden/", "./CVS/", "./x/.y/")])).alias("path"))
-    return ch.visible(a.unionByName(odd))
+    """The visible files of a tree, from the listing alone."""
+    return _folders(tree(spark, written_tree(spark, d), content=False))
 
 
-@query("index_scan_excludes", f"WITH {SNAPSHOTS} SELECT path FROM snapshot_a WHERE NOT regexp_matches(path, '/src1/|7[.]txt$')")
+@query("index_scan_excludes", _TREE.format("WHERE lang <> 'fr' AND source NOT LIKE '%1'"))
 def index_scan_excludes(spark, d):
-    patterns = F.array(F.lit("/src1/"), F.lit("7[.]txt$"))
-    return snapshot_a(spark, d).where(~F.exists(patterns, lambda p: F.regexp(F.col("path"), p))).select("path")
+    return _folders(tree(spark, written_tree(spark, d), content=False, excludes=["/lang=fr/", "/source=[^/]*1/"]))
 
 
 @query("doc_md5", "SELECT doc_id AS id, md5(text) AS digest FROM documents")
@@ -235,12 +251,16 @@ def doc_md5(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("digest"))
 
 
-@query("mail_dedup", "SELECT md5(text) AS id, min(conv_id) AS first_conv FROM conversations WHERE role = 'user' AND md5(text) NOT IN (SELECT md5(text) FROM conversations WHERE role = 'assistant') GROUP BY 1")
+@query("mail_dedup", "WITH m AS (SELECT md5(rtrim(text, chr(10))) AS id, conv_id, role FROM conversations) SELECT id, min(conv_id) AS first_conv FROM m WHERE role = 'user' AND id NOT IN (SELECT id FROM m WHERE role = 'assistant') GROUP BY id")
 def mail_dedup(spark, d):
-    """Messages of one project, each once, without those at hand already."""
-    mail = table(spark, d, "conversations").select(F.md5("text").alias("id"), "conv_id", "role")
-    new = mail.where("role = 'user'").groupBy("id").agg(F.min("conv_id").alias("first_conv"))
-    return new.join(mail.where("role = 'assistant'"), "id", "left_anti")
+    """Messages of a mailbox, each once, without those at hand already: written as mbox, read, parsed, told apart by content."""
+    path = storage.scratch(spark, "mbox")
+    turns = table(spark, d, "conversations")
+    headers = F.concat(F.lit("Subject: turn\n "), F.col("turn").cast("string"), F.lit("\nX-Role: "), F.col("role"), F.lit("\nX-Conv: "), F.col("conv_id").cast("string"))
+    turns.select(mail.mbox_row(headers, F.col("text")).alias("value")).write.text(path)
+    read = mail.mbox(spark, path).select(F.md5("body").alias("id"), F.col("headers")["x-conv"].cast("long").alias("conv_id"), F.col("headers")["x-role"].alias("role"))
+    new = read.where("role = 'user'").groupBy("id").agg(F.min("conv_id").alias("first_conv"))
+    return new.join(read.where("role = 'assistant'").select("id"), "id", "left_anti")
 
 
 @query("revision_index", f"{_JOURNAL} SELECT 'metadata' AS kind, NULL AS operation, 'changeset' AS path UNION ALL SELECT 'journal', type, path FROM journal UNION ALL SELECT 'data', type, path FROM journal WHERE content IS NOT NULL")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexistrata.functions import collections
 from lexistrata.operators import keyvalue as kv
 from lexistrata.operators.ranking import with_rank
 from lexistrata.queries.common import Query, table
 from lexistrata.sources import storage
+from lexistrata.sources.versions import Versions
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -93,13 +95,30 @@ def kv_roundtrip(spark, d):
     return spark.read.parquet(path)
 
 
-@query("hash_outer_partition", """WITH RECURSIVE k AS (SELECT CAST(c_custkey AS VARCHAR) AS key FROM customer),
-h AS (SELECT key, 1 AS i, CAST(774831917 AS BIGINT) AS h FROM k UNION ALL SELECT key, i + 1, (h * 29 + ascii(substr(key, i, 1))) & 4294967295 FROM h WHERE i <= length(key)),
-f AS (SELECT key, h & 2147483647 AS h FROM h WHERE i = length(key) + 1)
-SELECT CAST(h % 17 AS BIGINT) AS part, count(*) AS n FROM f GROUP BY 1""")
+def _hash_sql(start: str, factor: int, scale: int, codes: str) -> str:
+    return f"((list_reduce(list_prepend(CAST({start} AS BIGINT), {codes}), lambda h, b: (h * {factor} + b) & 4294967295) * {scale}) & 2147483647)"
+
+
+_CODES = "[CAST(ascii(c) AS BIGINT) for c in string_split(key, '')]"
+_OUTER = _hash_sql("774831917", 29, 5157883, f"list_reverse({_CODES})")
+_SECOND = _hash_sql("19780211", 37, 43321879, f"list_reverse({_CODES})")
+_INNER = _hash_sql("CASE WHEN length(key) = 4 THEN ascii(key[1]) + ascii(key[2]) * 256 + ascii(key[3]) * 65536 + CAST(ascii(key[4]) AS BIGINT) * 16777216 ELSE 751 END", 31, 87767623, _CODES)
+
+
+@query("hash_outer_partition", f"{_WITH} SELECT CAST({_OUTER} % 17 AS BIGINT) AS part, count(*) AS n FROM store GROUP BY 1")
 def hash_outer_partition(spark, d):
     """Records in each of 17 hash partitions: a skew report."""
-    return customers(spark, d).select((kv.hash_31(F.col("key"), 774831917, 29) % 17).alias("part")).groupBy("part").agg(F.count("*").alias("n"))
+    return customers(spark, d).select((kv.outer_hash(F.col("key")) % 17).alias("part")).groupBy("part").agg(F.count("*").alias("n"))
+
+
+@query("hash_inner", f"{_WITH} SELECT key, {_INNER} AS bucket, {_SECOND} AS place FROM store")
+def hash_inner(spark, d):
+    return customers(spark, d).select("key", kv.inner_hash(F.col("key")).alias("bucket"), kv.second_hash(F.col("key")).alias("place"))
+
+
+@query("prime_at_least", "SELECT p_partkey AS n, (SELECT min(x) FROM unnest(range(greatest(2, p_partkey), p_partkey + 302)) t(x) WHERE len([q for q in range(2, CAST(floor(sqrt(x)) AS BIGINT) + 1) if x % q = 0]) = 0) AS prime FROM part")
+def prime_at_least(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("n"), kv.prime_at_least(F.col("p_partkey")).alias("prime"))
 
 
 @query("btree_put_dup", f"WITH {_MULTI}, {_BATCH.replace('CAST(o_custkey AS VARCHAR)', 'o_custkey')}, top AS (SELECT key, max(seq) AS t FROM multi GROUP BY key) SELECT key, seq, value FROM multi UNION ALL SELECT b.key, coalesce(t, 0) + seq, value FROM batch b LEFT JOIN top USING (key)")
@@ -171,22 +190,77 @@ for _name, _sort in (("lex", "key"), ("int", "CASE WHEN regexp_matches(key, '^-?
     _first_in_order(_name, _sort)
 
 
-@query("btree_txn_abort", f"{_WITH} SELECT key, value FROM store")
+def _transaction(spark, d) -> tuple[Versions, object]:
+    """A store of one version, and a transaction that wrote a second one."""
+    store = Versions(spark, storage.scratch(spark, "versions"))
+    first = store.begin()
+    first.write(customers(spark, d))
+    first.commit()
+    txn = store.begin()
+    txn.write(kv.put_over(txn.read(), by_customer(spark, d)))
+    return store, txn
+
+
+@query("btree_txn_abort", f"{_WITH} SELECT key, value, 1 AS version FROM store")
 def btree_txn_abort(spark, d):
-    """A transaction writes a new version beside the store; abandoned, the store reads as before."""
-    path = storage.scratch(spark, "txn")
-    customers(spark, d).write.parquet(f"{path}/v1")
-    kv.put_over(spark.read.parquet(f"{path}/v1"), by_customer(spark, d)).write.parquet(f"{path}/v2-uncommitted")
-    return spark.read.parquet(f"{path}/v1")
+    store, txn = _transaction(spark, d)
+    txn.abort()
+    return store.read().withColumn("version", F.lit(store.last()))
+
+
+@query("btree_txn_commit", f"{_WITH} SELECT key, coalesce(b.value, s.value) AS value, 2 AS version FROM store s FULL JOIN ({_LAST}) b USING (key)")
+def btree_txn_commit(spark, d):
+    store, txn = _transaction(spark, d)
+    txn.commit()
+    return store.read().withColumn("version", F.lit(store.last()))
 
 
-@query("lob_scan")
+@query("lob_scan", """WITH put AS (SELECT 'b' || item_id AS key, CASE WHEN item_id % 3 = 0 THEN reverse(text) ELSE text END AS value FROM benchmark WHERE item_id % 5 <> 0
+UNION ALL SELECT 'new' || item_id, text || '!' FROM benchmark WHERE item_id % 3 = 0) SELECT key, strlen(value) AS size, md5(value) AS digest FROM put""")
 def lob_scan(spark, d):
-    """Large values as files: name, size and digest by the binary file source."""
+    """Large binary values by name: put, put over, deleted, listed with size and digest from storage."""
     path = storage.scratch(spark, "lob")
-    table(spark, d, "benchmark").select(F.col("text").alias("value")).write.text(path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
-    return files.select("length", F.md5("content").alias("digest"))
+    b = table(spark, d, "benchmark")
+    binary = lambda c: c.cast("binary").alias("value")
+    store = b.select(F.concat(F.lit("b"), "item_id").alias("key"), binary(F.col("text")))
+    third = b.where("item_id % 3 = 0")
+    batch = third.select(F.concat(F.lit("b"), "item_id").alias("key"), F.lit(1).alias("seq"), binary(F.reverse("text"))).unionByName(third.select(F.concat(F.lit("new"), "item_id").alias("key"), F.lit(1).alias("seq"), binary(F.concat("text", F.lit("!")))))
+    gone = b.where("item_id % 5 = 0").select(F.concat(F.lit("b"), "item_id").alias("key"))
+    kv.remove(kv.put_over(store, batch), gone).write.parquet(path)
+    return kv.described(spark.read.parquet(path)).select("key", F.col("size").cast("long").alias("size"), "digest")
+
+
+@query("env_ops", "SELECT 'user.' || c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN 'set' ELSE c_name END AS value FROM customer WHERE c_custkey % 3 <> 0")
+def env_ops(spark, d):
+    """Settings set, read again and deleted."""
+    env = table(spark, d, "customer").select(F.concat(F.lit("user."), "c_custkey").alias("key"), F.col("c_name").alias("value"), "c_custkey")
+    set_ = env.where("c_custkey % 2 = 0").select("key", F.lit(1).alias("seq"), F.lit("set").alias("value"))
+    return kv.remove(kv.put_over(env.select("key", "value"), set_), env.where("c_custkey % 3 = 0")).select("key", "value")
+
+
+@query("line_counts", "SELECT source, count(*) AS files, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines, CAST(sum(len([x for x in string_split(text, chr(10)) if trim(x, ' ' || chr(9)) = ''])) AS BIGINT) AS blank, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY source")
+def line_counts(spark, d):
+    """Files, lines, blank lines and bytes by source."""
+    lines = F.split("text", "\n", -1)
+    blank = F.size(F.filter(lines, lambda x: F.trim(x, F.lit(" \t")) == ""))
+    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("files"), F.sum(F.size(lines)).alias("lines"), F.sum(blank).alias("blank"), F.sum(F.octet_length("text")).alias("bytes"))
+
+
+@query("list_dump", "SELECT doc_id AS id, 2 + len(string_split(source, 'r')) AS n, source AS again FROM documents")
+def list_dump(spark, d):
+    """Lists written as one binary each, and loaded."""
+    l = F.concat(F.array(F.lit('a "quoted", one'), F.lit("")), F.split("source", "r"))  # noqa: E741
+    kept = table(spark, d, "documents").select(F.col("doc_id").alias("id"), collections.dump(l).alias("data"))
+    back = kept.select("id", collections.load_list(F.col("data")).alias("l"))
+    return back.where(F.get("l", 0) == 'a "quoted", one').select("id", F.size("l").cast("long").alias("n"), F.array_join(F.slice("l", 3, F.size("l")), "r").alias("again"))
+
+
+@query("map_dump", "SELECT doc_id AS id, lang, source || chr(10) AS source, 2 AS n FROM documents")
+def map_dump(spark, d):
+    """Maps written as one binary each, and loaded."""
+    m = F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.concat("source", F.lit("\n")))
+    back = table(spark, d, "documents").select(F.col("doc_id").alias("id"), collections.dump(m).alias("data")).select("id", collections.load_map(F.col("data")).alias("m"))
+    return back.select("id", F.col("m")["lang"].alias("lang"), F.col("m")["source"].alias("source"), F.size("m").alias("n"))
 
 
 @query("read_lines", "SELECT unnest(string_split(text, chr(10))) AS line FROM documents")

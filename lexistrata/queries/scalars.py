@@ -43,6 +43,11 @@ def padded(t):
     return F.concat(F.lit("\x07\x08\t\n\x0b\x0c\r "), t, F.lit("\x0b \x07"))
 
 
+def _hexed(t, sign: str):
+    """Every byte of a text as the sign and two hex digits, not by this library's encoders."""
+    return F.regexp_replace(F.hex(F.encode(t, "utf-8")), "(..)", sign + "$1")
+
+
 scalar("str_icmp", f"CASE WHEN {_FOLD} < 'the' THEN -1 WHEN {_FOLD} > 'the' THEN 1 ELSE 0 END", lambda t: strings.icmp(t, F.lit("The")))
 scalar("str_fw", "starts_with(text, 'The')", lambda t: strings.starts_with(t, F.lit("The")))
 scalar("str_fwi", f"starts_with({_FOLD}, 'th')", lambda t: strings.starts_with(t, F.lit("TH"), True))
@@ -56,16 +61,23 @@ scalar("str_split", "CASE WHEN text = '' THEN 0 ELSE len(string_split_regex(text
 scalar("str_replace_map", "md5(replace(replace(replace(replace(replace(text, 'the', chr(1)), 'th', chr(2)), 'e', chr(3)), chr(1), 'th'), chr(2), '[e]').replace(chr(3), ''))", lambda t: F.md5(strings.replace_map(t, [("the", "th"), ("th", "[e]"), ("e", "")])))
 scalar("str_format", "printf('%s has %d characters, %05.1f%%', doc_id::VARCHAR, length(text), length(text) / 7.0)", lambda t: F.format_string("%s has %d characters, %05.1f%%", F.col("id").cast("string"), F.char_length(t), F.char_length(t) / F.lit(7.0)))
 scalar("b64_encode", "base64(encode(text))", strings.base64_encode)
-scalar("b64_decode", "md5(text)", lambda t: F.md5(strings.base64_decode(strings.base64_encode(t))))
+scalar("b64_decode", "md5(text)", lambda t: F.md5(strings.base64_decode(F.to_char(F.encode(t, "utf-8"), F.lit("base64")))))
 scalar("qp_encode", "strlen(text) + 2 * (strlen(text) - strlen(regexp_replace(text, '[^\\x09\\x0A\\x0D\\x20-\\x3C\\x3E-\\x7E]', '', 'g')))", lambda t: F.octet_length(strings.quoted_printable_encode(t)).cast("long"))
-scalar("qp_decode", "md5(text)", lambda t: F.md5(strings.quoted_printable_decode(strings.quoted_printable_encode(t))))
+scalar("qp_decode", "md5(text)", lambda t: F.md5(strings.quoted_printable_decode(F.concat(_hexed(t, "="), F.lit("=\r\n")))))
 scalar("mime_word", "'=?UTF-8?B?' || base64(encode(source)) || '?= ' || source", lambda t: F.concat_ws(" ", strings.mime_word_encode(F.col("source")), strings.mime_word_decode(strings.mime_word_encode(F.col("source"), "Q"))))
 scalar("csv_escape", "'\"' || replace(text, '\"', '\"\"') || '\"'", markup.csv_escape)
-scalar("csv_unescape", "md5(text)", lambda t: F.md5(markup.csv_unescape(markup.csv_escape(t))))
+scalar("csv_unescape", "md5(text)", lambda t: F.md5(markup.csv_unescape(F.concat(F.lit('"'), F.array_join(F.split(t, '"', -1), '""'), F.lit('"')))))
 scalar("csv_rows", "len([x for x in string_split_regex(text, '[\\r\\n]+') if x <> '']) + 1", lambda t: F.size(markup.csv_rows(F.concat(F.regexp_replace(t, '"', ""), F.lit('\n"a\n""b",c')))).cast("long"))
 scalar("csv_cells", "doc_id || '|' || lang || '|x,\"' || source || '|'", lambda t: F.array_join(markup.csv_cells(F.concat(F.col("id").cast("string"), F.lit(","), F.col("lang"), F.lit(',"x,""'), F.col("source"), F.lit('",'))), "|"))
 scalar("iconv_latin1", "md5(regexp_replace(text, '[^\\x{00}-\\x{ff}]', '?', 'g'))", lambda t: F.md5(strings.transcode(t)))
-query("crc32", "SELECT 3421780262 AS value, count(*) AS n FROM documents")(lambda spark, d: docs(spark, d).groupBy(strings.crc32(F.lit("123456789")).alias("value")).agg(F.count("*").alias("n")))
+_CRC = "list_reduce(list_prepend(4294967295::BIGINT, [ascii(c)::BIGINT for c in string_split(lang || ' ' || source || ' ' || doc_id, '')]), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))"
+scalar("crc32", f"xor({_CRC}, 4294967295)", lambda t: strings.crc32(F.concat_ws(" ", "lang", "source", F.col("id").cast("string"))))
+for _kind in ("zlib", "raw", "gzip"):
+    scalar(f"deflate_{_kind}", "md5(text) || CASE WHEN strlen(text) >= 1000 THEN ' smaller' ELSE '' END", lambda t, k=_kind: _packed(strings.deflate(t, k), t, k))
+
+
+def _packed(data, t, kind: str):
+    return F.concat(F.md5(strings.inflate(data, kind)), F.when((F.octet_length(t) >= 1000) & (F.octet_length(data) < F.octet_length(t)), " smaller").otherwise(""))
 
 
 # --- pages ---
@@ -102,7 +114,7 @@ def url_encode(spark, d):
 @query("url_decode", "SELECT page_id AS id, url || ' é*' AS value, 'a b' AS plus, 'ab' AS cut FROM pages")
 def url_decode(spark, d):
     t = F.concat("url", F.lit(" é*"))
-    return pages(spark, d).select("id", markup.url_decode(markup.url_encode(t)).alias("value"), markup.url_decode(F.lit("a+b")).alias("plus"), markup.url_decode(F.lit("ab%G1cd")).alias("cut"))
+    return pages(spark, d).select("id", markup.url_decode(_hexed(t, "%")).alias("value"), markup.url_decode(F.lit("a+b")).alias("plus"), markup.url_decode(F.lit("ab%G1cd")).alias("cut"))
 
 
 _XML = quoted(r"(?s)<!--.*?-->|<[^>]*>|[^<]+")
@@ -131,7 +143,10 @@ def xml_escape(spark, d):
 
 @query("xml_unescape", "SELECT page_id AS id, html AS value, '&lt;' AS once FROM pages")
 def xml_unescape(spark, d):
-    return pages(spark, d).select("id", markup.xml_unescape(markup.xml_escape(F.col("html"))).alias("value"), markup.xml_unescape(F.lit("&amp;lt;")).alias("once"))
+    plain = F.col("html")
+    for char, name in (("&", "amp"), ("<", "lt"), (">", "gt"), ('"', "quot"), ("'", "apos")):
+        plain = F.array_join(F.split(plain, char, -1), f"&{name};")
+    return pages(spark, d).select("id", markup.xml_unescape(plain).alias("value"), markup.xml_unescape(F.lit("&amp;lt;")).alias("once"))
 
 
 # --- messages ---
@@ -193,3 +208,8 @@ def date_parse(spark, d):
         "id", dates.parse(dates.rfc1123(t)).alias("http"), dates.parse(dates.w3c(t)).alias("w3c"), dates.parse(dates.w3c(t, 9 * 3600)).alias("jst"), dates.parse(t.cast("string")).alias("number"),
         dates.parse(F.replace(day, F.lit("-"), F.lit("/"))).alias("slashes"), dates.parse(F.replace(F.regexp_replace(dates.rfc1123(t), "^[A-Za-z]+, ", ""), F.lit("GMT"), F.lit("EDT"))).alias("edt"), dates.parse(F.lit("0xFF")).alias("hex"), dates.parse(F.lit("soon")).alias("bad"),
     )
+
+
+@query("date_jetlag", f"WITH e AS ({_T}) SELECT id, CAST(32400 AS BIGINT) AS tokyo, CAST(epoch(t) - epoch(timezone('Europe/Berlin', timezone('UTC', t))::TIMESTAMP) AS BIGINT) * -1 AS berlin FROM e")
+def date_jetlag(spark, d):
+    return seconds(spark, d).select("id", dates.jetlag(F.col("t"), "Asia/Tokyo").alias("tokyo"), dates.jetlag(F.col("t"), "Europe/Berlin").alias("berlin"))

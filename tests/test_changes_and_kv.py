@@ -7,7 +7,8 @@ from lexistrata.operators import changes as ch
 from lexistrata.operators import keyvalue as kv
 from lexistrata.operators import lineage as ln
 from lexistrata.plans.registry import Registry
-from lexistrata.sources import catalog, files, storage
+from lexistrata.sources import catalog, files, mail, storage
+from lexistrata.sources.versions import Conflict, Versions
 from lexistrata.streaming import incremental
 
 SNAP = "path string, content string, mtime long"
@@ -127,6 +128,55 @@ def test_files(spark, tmp_path):
         (tmp_path / p).write_text("hello " + p)
     assert {(r.path, r.content) for r in files.snapshot(spark, str(tmp_path)).collect()} == {("./a/x.txt", "hello a/x.txt"), ("./b.txt", "hello b.txt")}
     assert files.tree(spark, str(tmp_path), content=False).columns == ["path", "size", "mtime"]
+    assert [r.path for r in files.tree(spark, str(tmp_path), excludes=["^./a/", "z$"]).collect()] == ["./b.txt"]
+    assert files.find_up(spark, str(tmp_path / "a"), "b.txt").endswith(tmp_path.name) and files.find_up(spark, str(tmp_path / "a"), "no such name") is None
+
+
+def test_transactions(spark, tmp_path):
+    store = Versions(spark, str(tmp_path / "s"))
+    assert store.last() == 0
+    df = lambda *rows: spark.createDataFrame([(k, v) for k, v in rows], "key string, value string")
+    first = store.begin()
+    first.write(df(("a", "1")))
+    assert store.last() == 0 and first.commit() == 1
+    one, two = store.begin(), store.begin()
+    one.write(df(("a", "2")))
+    two.write(df(("a", "3")))
+    two.write(kv.put_over(two.read(), df(("b", "4")).withColumn("seq", F.lit(1))))
+    assert {tuple(r) for r in two.read().collect()} == {("a", "3"), ("b", "4")} and {tuple(r) for r in store.read().collect()} == {("a", "1")}
+    assert one.commit() == 2 and {tuple(r) for r in store.read().collect()} == {("a", "2")}
+    with pytest.raises(Conflict):
+        two.commit()
+    two.abort()
+    assert sorted(p.name for p in (tmp_path / "s").iterdir()) == ["v1", "v2"] and store.begin().commit() == 2
+
+
+def test_mailbox(spark, tmp_path):
+    rows = [("Subject: a\nX-A: 1", "From here on\n>From there\n\nend\n\n"), ("Subject: b", "")]
+    spark.createDataFrame(rows, "h string, b string").coalesce(1).select(mail.mbox_row(F.col("h"), F.col("b")).alias("value")).write.text(str(tmp_path / "m"))
+    got = [(r.headers, r.body) for r in mail.mbox(spark, str(tmp_path / "m")).collect()]
+    assert got == [({"subject": "a", "x-a": "1"}, "From here on\n>From there\n\nend"), ({"subject": "b"}, "")]
+
+
+def test_hot_keys_are_joined_by_parts(spark):
+    rows = [("hot", i, f"{i},") for i in range(9000)] + [("b", 1, "x"), ("b", None, "first")]
+    df = spark.createDataFrame(rows, "key string, seq long, value string").repartition(7)
+    got = {r.key: r.value for r in kv.concatenated(df).collect()}
+    assert got == {"hot": "".join(f"{i}," for i in range(9000)), "b": "firstx"}
+    assert {r.key: r["values"] for r in kv.value_lists(df).collect()}["hot"] == [f"{i}," for i in range(9000)]
+
+
+def test_storage_needs_a_shared_folder_off_a_local_master(spark, monkeypatch):
+    class Context:
+        master, applicationId = "spark://host:7077", "a"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = type("C", (), {"get": staticmethod(lambda k, d: d)})()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Session())
 
 
 def test_registry(spark):
@@ -165,3 +215,43 @@ def test_catalog_round_trip(spark):
     path = storage.scratch(spark, "test")
     catalog.save(ix.build(df, "id", F.col("uri"), "text"), path)
     assert {r.word for r in catalog.load(spark, path).postings.collect()} == {"red", "fox"}
+
+
+def test_look_up_of_a_word_is_pruned(spark):
+    """A search of a saved catalog reads postings alone, filtered by word in the scan, and analyses no text."""
+    from lexistrata.plans import boolean
+
+    df = spark.createDataFrame([(i, f"u{i}", f"red fox number{i}") for i in range(50)], "id long, uri string, text string")
+    found = catalog.opened(spark, "test of pruning", lambda path: catalog.index_texts(df, path, "id", F.col("uri"), "text"))
+    again = catalog.opened(spark, "test of pruning", lambda path: pytest.fail("made twice"))
+    for result in (boolean.run("red & number7", found.postings)[0], boolean.run("number7", again.postings)[0]):
+        plan = result._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters: [" in plan and "word" in plan.split("PushedFilters: [")[1].split("\n")[0] and "regexp" not in plan and "nwords" not in plan
+        assert [r.id for r in result.collect()] == [7]
+
+
+def test_an_uri_twice_in_a_batch_is_one_document(spark):
+    from lexistrata.operators import index as ix
+
+    base = ix.build(spark.createDataFrame([(1, "u", "old")], "id long, uri string, text string"), "id", F.col("uri"), "text")
+    new = ix.documents(spark.createDataFrame([(1, "u", "one"), (2, "u", "two"), (3, "v", "three")], "n long, uri string, text string"), "n", F.col("uri"), "text").withColumnRenamed("id", "n")
+    over = ix.put(base, new, order="n").docs.collect()
+    assert sorted((r.uri, r.nwords) for r in over) == [("u", ["two"]), ("v", ["three"])] and len({r.id for r in over}) == 2
+    assert sorted((r.uri, r.nwords) for r in ix.put(base, new, over=False, order="n").docs.collect()) == [("u", ["old"]), ("v", ["three"])]
+
+
+def test_similarity_loses_no_pair(spark):
+    from lexistrata.operators import index as ix
+
+    rnd = random.Random(3)
+    rows = {i: {w: rnd.choice([1, 2, 5]) for w in rnd.sample(["common", "usual", "a", "b", "c", "d", "e", "f"], 4) + ["the"]} for i in range(40)}
+    keys = spark.createDataFrame([(i, w, n) for i, v in rows.items() for w, n in v.items()], "id long, word string, num long")
+    for least in (0.5, 0.9):
+        want = {}
+        for a in rows:
+            for b in rows:
+                dot = sum(n * rows[b].get(w, 0) for w, n in rows[a].items())
+                cosine = dot / (sum(n * n for n in rows[a].values()) * sum(n * n for n in rows[b].values())) ** 0.5
+                if a < b and cosine >= least - 1e-9:
+                    want[a, b] = (dot, round(cosine, 9))
+        assert {(r.a, r.b): (r.dot, round(r.cosine, 9)) for r in ix.similarity(keys, least).collect()} == want

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexistrata.functions import dates, markup, strings
+from lexistrata.functions.text import STANDARD
 from lexistrata.operators import keyvalue as kv
 from lexistrata.operators.ranking import with_rank
 from lexistrata.plans import find
@@ -80,3 +81,27 @@ def test_windowed_terms(spark):
     at = [datetime.datetime(2024, 1, 1, h, m) for h, m in ((0, 5), (0, 50), (1, 1))]
     rows = spark.createDataFrame([(t, "w") for t in at], "ts timestamp, word string")
     assert sorted(r.n for r in incremental.windowed_terms(rows, "ts", "word").collect()) == [1, 2]
+
+
+def test_hashes_primes_and_compression(value):
+    def plain(key, start, factor, scale, back):
+        h, codes = start, key.encode()
+        for b in reversed(codes) if back else codes:
+            h = (h * factor + b) & 0xFFFFFFFF
+        return (h * scale) & 0x7FFFFFFF
+
+    for key in ("", "a", "abcd", "a longer key", "\xe9"):
+        start = int.from_bytes(key.encode(), "little") if len(key.encode()) == 4 else 751
+        got = value(kv.inner_hash(F.lit(key)), kv.second_hash(F.lit(key)), kv.outer_hash(F.lit(key)))
+        assert got == (plain(key, start, 31, 87767623, False), plain(key, 19780211, 37, 43321879, True), plain(key, 774831917, 29, 5157883, True))
+    assert value(*[kv.prime_at_least(F.lit(n)) for n in (-5, 2, 4, 90, 10_000_000)]) == (2, 2, 5, 97, 10_000_019)
+    for kind in ("zlib", "raw", "gzip"):
+        small, back, bad = value(strings.deflate(F.lit("ab" * 500), kind), strings.inflate(strings.deflate(F.lit("ab" * 500), kind), kind), strings.inflate(F.lit("ab"), kind))
+        assert len(small) < 60 and bytes(back) == b"ab" * 500 and bad is None
+
+
+def test_limits_of_words_count_characters(value):
+    """Thirty accented letters are sixty bytes: they are one word, kept whole."""
+    word = "\xe9" * 30
+    assert value(STANDARD.tokens(F.lit(word)), STANDARD.normal(F.lit(word)), STANDARD.parts(F.lit(word))) == ([word], word, [word])
+    assert value(STANDARD.as_is(F.lit("\xe9" * 60)))[0] == "\xe9" * 49

@@ -10,7 +10,6 @@ from lexistrata.queries import ORACLE_SQL, QUERIES
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-WITHOUT_SQL = {"lob_scan"}
 
 
 @pytest.fixture(scope="module")
@@ -31,8 +30,8 @@ def plain(v):
     return str(v)
 
 
-def test_all_have_sql_but_two():
-    assert set(QUERIES) - set(ORACLE_SQL) == WITHOUT_SQL and set(ORACLE_SQL) <= set(QUERIES)
+def test_all_have_sql():
+    assert set(QUERIES) == set(ORACLE_SQL)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -40,9 +39,6 @@ def test_query(spark, con, name):
     df = QUERIES[name](spark, D)
     cols = sorted(df.columns)
     got = sorted(tuple(plain(r[c]) for c in cols) for r in df.collect())
-    if name in WITHOUT_SQL:
-        assert got
-        return
     rel = con.sql(ORACLE_SQL[name])
     assert sorted(rel.columns) == cols
     at = [rel.columns.index(c) for c in cols]
