@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,25 +174,39 @@ def _boolean(text: str) -> Query:
 for _name, (_text, _sql) in _BOOLEAN.items():
     query(_name, f"WITH {TERM} SELECT id, score FROM {_sql}")(_boolean(_text))
 
-_EDGES = ["a b", "a & b | c", "a ! (b c)", "(a b) c", "a) b", "! a", "-a", '"a b"', 'a "b', "(a", "()", "a &", "(a &", ""]
+#: Query texts made of a document's language l and source s, and what the parser makes of them: tokens, errors, what it ignores.
+_EDGES = [
+    ("{l} {s}", "{l} & {s}", "", ""), ("{l} & {s} | c", "{l} & {s} | c", "", ""), ("{l} ! (b {s})", "{l} ! ( b & {s} )", "", ""), ("({l} b) {s}", "( {l} & b ) {s}", "", "{s}"),
+    ("{l}) {s}", "{l} ) {s}", "", ") {s}"), ("! {s}", "! {s}", "invalid", "{s}"), ("-{l}", "-{l}", "invalid", ""), ('"{l} {s}"', '" {l} & {s} "', "invalid", '{l} & {s} "'),
+    ('{l} "{s}', '{l} " & {s}', "", '" & {s}'), ("({l}", "( {l}", "open", ""), ("()", "( )", "invalid,open", ""), ("{l} &", "", "failed", ""), ("({s} &", "", "failed", ""), ("", "", "failed", ""),
+]
 
 
-@query(
-    "query_errors",
-    """SELECT * FROM (VALUES ('a b', 'a & b', '', ''), ('a & b | c', 'a & b | c', '', ''), ('a ! (b c)', 'a ! ( b & c )', '', ''), ('(a b) c', '( a & b ) c', '', 'c'),
-('a) b', 'a ) b', '', ') b'), ('! a', '! a', 'invalid', 'a'), ('-a', '-a', 'invalid', ''), ('"a b"', '" a & b "', 'invalid', 'a & b "'), ('a "b', 'a " & b', '', '" & b'),
-('(a', '( a', 'open', ''), ('()', '( )', 'invalid,open', ''), ('a &', '', 'failed', ''), ('(a &', '', 'failed', ''), ('', '', 'failed', '')) t(query, tokens, errors, ignored)""",
-)
+def _made_sql(template: str) -> str:
+    return "replace(replace(" + quoted(template) + ", '{l}', lang), '{s}', source)"
+
+
+@query("query_errors", " UNION ALL ".join(f"SELECT DISTINCT {i} AS n, {_made_sql(q)} AS query, {_made_sql(t)} AS tokens, '{e}' AS errors, {_made_sql(g)} AS ignored FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL" for i, (q, t, e, g) in enumerate(_EDGES)))
 def query_errors(spark, d):
-    short = {boolean.INVALID: "invalid", boolean.NOT_CLOSED: "open", boolean.UNBALANCED: "unbalanced"}
-    rows = []
-    for text in _EDGES:
-        try:
-            q = boolean.parse(text)
-            rows.append((text, " ".join(q.tokens), ",".join(short[e] for e in q.errors), " ".join(q.ignored)))
-        except boolean.QueryFailed:
-            rows.append((text, "", "failed", ""))
-    return spark.createDataFrame(rows, "query string, tokens string, errors string, ignored string")
+    """What the parser reports, for queries made of every language and source."""
+
+    @F.pandas_udf("tokens string, errors string, ignored string")
+    def parsed(texts: pd.Series) -> pd.DataFrame:
+        short = {boolean.INVALID: "invalid", boolean.NOT_CLOSED: "open", boolean.UNBALANCED: "unbalanced"}
+
+        def one(text: str) -> tuple[str, str, str]:
+            try:
+                q = boolean.parse(text)
+            except boolean.QueryFailed:
+                return "", "failed", ""
+            return " ".join(q.tokens), ",".join(short[e] for e in q.errors), " ".join(q.ignored)
+
+        return pd.DataFrame([one(t) for t in texts], columns=["tokens", "errors", "ignored"])
+
+    pairs = docs_of(spark, d).select("lang", "source").where("lang is not null and source is not null").distinct()
+    made = [F.struct(F.lit(i).alias("n"), F.replace(F.replace(F.lit(q), F.lit("{l}"), F.col("lang")), F.lit("{s}"), F.col("source")).alias("query")) for i, (q, *_) in enumerate(_EDGES)]
+    rows = pairs.select(F.explode(F.array(*made)).alias("q")).select("q.n", "q.query").distinct()
+    return rows.select("n", "query", parsed("query").alias("p")).select("n", "query", "p.*")
 
 
 @query("result_page", f"WITH {TERM}, r AS (SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) - 1 AS INT) AS rank FROM {_or(_the, _der)}) SELECT rank, id, score FROM r WHERE rank >= 10 AND rank < 30")
