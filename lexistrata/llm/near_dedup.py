@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexistrata.llm.common import durable, small_batches, texts_of
 from lexistrata.llm.components import connected_components
-from lexistrata.llm.simhash import fingerprint, fingerprint_edges, lowered_words
+from lexistrata.llm.simhash import fingerprint_edges, fingerprint_of, shingle_hashes
 from lexistrata.sources.storage import Rounds
 
 #: Words of a shingle, and the least similarity of a link.
@@ -29,15 +29,7 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles; fewer words than a shingle are one, no words are none."""
-    words = lowered_words(text)
-    if not words:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    begin = np.concatenate([[0], ends[:-1]])[: max(1, len(words) - shingle + 1)].tolist()
-    finish = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[x:y], 42) for x, y in zip(begin, finish, strict=True)], np.uint64))
+    return np.unique(shingle_hashes(text, shingle))
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
@@ -56,10 +48,10 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            texts = texts_of(b.column(2))
-            sets = [shingles(t, shingle) for t in texts]
+            hashes = [shingle_hashes(t, shingle) for t in texts_of(b.column(2))]
+            sets = [np.unique(h) for h in hashes]
             names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-            prints = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+            prints = np.array([fingerprint_of(h) for h in hashes], np.uint64).view(np.int64)
             keys = np.concatenate([band_keys(s) for s in sets]) if sets else np.empty(0, np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32)), pa.array(keys))
             cols = [*b.columns[:3], pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), pa.array(prints), bands]

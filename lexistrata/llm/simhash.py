@@ -26,23 +26,30 @@ def lowered_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def fingerprint(text: str, shingle: int = 3, seed: int = 42, block: int = 65_536) -> int:
-    """The text's SimHash. Shingles are counted in blocks, so memory beyond the words themselves does not follow the length."""
+def shingle_hashes(text: str, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of every shingle of the text, repeats included; fewer words than a shingle are one, no words are none."""
     words = lowered_words(text)
     if not words:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return digest(b" ".join(words), seed)
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    begin = np.concatenate([[0], ends[:-1]])[: len(words) - shingle + 1].tolist()
-    finish = (ends[shingle - 1 :] - 1).tolist()
+    begin = np.concatenate([[0], ends[:-1]])[: max(1, len(words) - shingle + 1)].tolist()
+    finish = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[x:y], seed) for x, y in zip(begin, finish, strict=True)), np.uint64, len(begin))
+
+
+def fingerprint_of(hashes: np.ndarray, block: int = 65_536) -> int:
+    """The bits that over half of the hashes set, counted in blocks; zero of none."""
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(begin), block):
-        h = np.array([digest(joined[x:y], seed) for x, y in zip(begin[at : at + block], finish[at : at + block], strict=True)], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(begin), bitorder="little").view(np.uint64)[0])
+    for at in range(0, len(hashes), block):
+        ones += np.unpackbits(hashes[at : at + block].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
+    """The text's SimHash."""
+    return fingerprint_of(shingle_hashes(text, shingle, seed))
 
 
 def _fingerprints(shingle: int, seed: int):

@@ -7,7 +7,7 @@ import xxhash
 
 from lexistrata.llm import simhash
 from lexistrata.llm.components import connected_components
-from lexistrata.llm.simhash import fingerprint, fingerprint_edges, simhash_components
+from lexistrata.llm.simhash import fingerprint, fingerprint_edges, fingerprint_of, shingle_hashes, simhash_components
 
 
 def plain_fingerprint(text):
@@ -44,7 +44,7 @@ def test_fingerprint_matches_plain_definition():
     words = ["Ab", "cd", "É", "x y", "longer-word", "!", "1"]
     for n in (0, 1, 2, 3, 4, 50, 500):
         t = "".join(rnd.choice(words) + rnd.choice([" ", "\n", "\t ", "\x0b"]) for _ in range(n))
-        assert fingerprint(t) == plain_fingerprint(t) == fingerprint(t, block=7) if n > 3 else fingerprint(t) == plain_fingerprint(t)
+        assert fingerprint(t) == plain_fingerprint(t) == fingerprint_of(shingle_hashes(t, 3), 7) if n > 3 else fingerprint(t) == plain_fingerprint(t)
 
 
 def test_documents_against_brute_force(spark):
