@@ -20,7 +20,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS: 0.9999 at 0.8, more above.
 BANDS, ROWS = 40, 7
 #: Shingles that are hashed at a time; members that are compared with a pivot in one task; bytes of sets that a task solves at once.
-BLOCK, PART, SMALL = 1024, 2048, 1 << 24
+BLOCK, PART, SMALL = 1024, 256, 1 << 24
 _rnd = np.random.default_rng(42)
 _FACTORS = _rnd.integers(0, 1 << 63, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _rnd.integers(0, 1 << 63, BANDS * ROWS).astype(np.uint64) * np.uint64(2)
