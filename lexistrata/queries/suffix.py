@@ -146,7 +146,7 @@ def delta_events(spark, d):
     return spark.sql("SELECT path, e.n, e.op, e.start, e.length FROM {coded}, LATERAL delta_events(c) e", coded=coded)
 
 
-@query("delta_stats", f"{_PAIRS} SELECT path, CASE WHEN long THEN 1 ELSE 0 END AS match_count, CASE WHEN long THEN n ELSE 0 END AS match_total, 1 AS insert_count, CASE WHEN long THEN 7 ELSE n + 7 END AS insert_total FROM pairs")
+@query("delta_stats", f"{_PAIRS} SELECT path, CAST(CASE WHEN long THEN 1 ELSE 0 END AS BIGINT) AS match_count, CASE WHEN long THEN n ELSE 0 END AS match_total, CAST(1 AS BIGINT) AS insert_count, CASE WHEN long THEN 7 ELSE n + 7 END AS insert_total FROM pairs")
 def delta_stats(spark, d):
     return deltas(spark, d).select("path", delta.delta_stats(F.col("ops")).alias("s")).select("path", "s.*")
 

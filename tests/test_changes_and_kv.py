@@ -215,6 +215,10 @@ def test_catalog_round_trip(spark):
     path = storage.scratch(spark, "test")
     catalog.save(ix.build(df, "id", F.col("uri"), "text"), path)
     assert {r.word for r in catalog.load(spark, path).postings.collect()} == {"red", "fox"}
+    with pytest.raises(Exception, match="(?i)exists"):
+        catalog.save(ix.build(df, "id", F.col("uri"), "text"), path)
+    catalog.save(ix.build(df.withColumn("text", F.lit("blue")), "id", F.col("uri"), "text"), path, "overwrite")
+    assert {r.word for r in catalog.load(spark, path).postings.collect()} == {"blue"} and catalog.load(spark, path).docs.count() == 1
 
 
 def test_look_up_of_a_word_is_pruned(spark):
