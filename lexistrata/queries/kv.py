@@ -10,7 +10,7 @@ from lexistrata.operators import keyvalue as kv
 from lexistrata.operators.ranking import with_rank
 from lexistrata.queries.common import Query, table
 from lexistrata.sources import storage
-from lexistrata.sources.versions import Versions
+from lexistrata.sources.versions import Versions, salvaged
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -95,6 +95,19 @@ def kv_roundtrip(spark, d):
     return spark.read.parquet(path)
 
 
+@query("kv_repair", f"{_WITH} SELECT key, value FROM store")
+def kv_repair(spark, d):
+    """A store with a damaged file among its files, read without it and written anew."""
+    path = storage.scratch(spark, "kv")
+    customers(spark, d).write.parquet(path)
+    bad = spark._jvm.org.apache.hadoop.fs.Path(path, "part-99999-damaged.snappy.parquet")
+    out = bad.getFileSystem(spark._jsc.hadoopConfiguration()).create(bad)
+    out.write(b"PAR1 no longer what it was")
+    out.close()
+    salvaged(spark, path, "key string, value string").write.parquet(f"{path}-again")
+    return spark.read.parquet(f"{path}-again")
+
+
 def _hash_sql(start: str, factor: int, scale: int, codes: str) -> str:
     return f"((list_reduce(list_prepend(CAST({start} AS BIGINT), {codes}), lambda h, b: (h * {factor} + b) & 4294967295) * {scale}) & 2147483647)"
 
