@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexistrata.llm.common import small_batches
+from lexistrata.llm.common import mapped, small_batches
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
@@ -152,7 +152,7 @@ def format_turns(df: DataFrame, template: Template = turn_template, loss_roles:
         if spans is not None:
             spans.close()
 
-    return _sorted_turns(df, conv_col, turn_col, role_col, text_col).mapInArrow(run, _SCHEMA.format(kind=df.schema[conv_col].dataType.simpleString()))
+    return mapped(_sorted_turns(df, conv_col, turn_col, role_col, text_col), run, _SCHEMA.format(kind=df.schema[conv_col].dataType.simpleString()))
 
 
 _TURN = re.compile(r"### Role: (.*?)\n<turn>(.*?)</turn>\n", re.S)
@@ -198,7 +198,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     kind = formatted.schema["conv_id"].dataType.simpleString()
     picked = formatted.select("conv_id", "seq", "formatted", "text_start", "text_end", "in_loss")
-    return picked.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return mapped(picked, run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _digest_batch(rows: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lexistrata.sources.storage import spread
 from lexistrata.sources.storage import materialized as durable  # the one helper, under the name that operators here use
@@ -22,6 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name == "documents" else df
 
 
+#: Bytes of an Arrow batch at most, where the session leaves Spark's own bound of 64 MB.
+BATCH_BYTES, _SPARKS = 8 << 20, "67108864b"
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow, with batches small enough for several tasks beside each other: long texts would make those of 10,000 rows as
+    large as Spark's bound, in the JVM and in the worker. Sets the session's bound, unless it is another than Spark's own."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == _SPARKS:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def stripped(text: Column) -> Column:
     """text without any character of SPACES (JVM-side)."""
     for ch in SPACES:
@@ -39,7 +53,7 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `rows`, so that working memory does not follow Arrow's batch size."""
     for b in batches:
         for at in range(0, b.num_rows, rows):

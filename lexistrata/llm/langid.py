@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexistrata.llm.common import crc_mod, small_batches, texts_of
+from lexistrata.llm.common import crc_mod, mapped, small_batches, texts_of
 
 #: Slots of the hashed feature weights.
 SLOTS = 1 << 16
@@ -337,13 +337,13 @@ def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drawn = usable.join(F.broadcast(bounds), F.col(lang_col).cast("string") == F.col("_lang")).where(hashed < F.col("_share"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, 256):
+        for b in small_batches(batches, 128):
             parts = [(i, part, lang) for i, text, lang in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True) for part in stretches_of(text, np.random.default_rng(zlib.crc32(i.encode())), stretches, stretch)]
             ids, words, langs = zip(*parts, strict=True) if parts else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(words, pa.list_(pa.string())), pa.array(langs, pa.string())], ["id", "words", "lang"])
 
     picked = drawn.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col("_lang").alias("lang"))
-    rows = picked.mapInArrow(run, "id string, words array<string>, lang string").collect()
+    rows = mapped(picked, run, "id string, words array<string>, lang string").collect()
     return train_stretches([(r.words, r.lang) for r in sorted(rows, key=lambda r: (r.id, r.lang, r.words))])
 
 
@@ -355,13 +355,13 @@ def identify_languages(df: DataFrame, model: LanguageModel, id_col: str = "doc_i
     gives no rows; other columns, a language among them, are never read. A model of no language says `und` always."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, 256):
+        for b in small_batches(batches, 128):
             langs, scores = model.predict(texts_of(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["_id", "lang_pred", "score"])
 
     kind = df.schema[id_col].dataType.simpleString()
     picked = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return picked.mapInArrow(run, f"_id {kind}, lang_pred string, score double").withColumnRenamed("_id", id_col)
+    return mapped(picked, run, f"_id {kind}, lang_pred string, score double").withColumnRenamed("_id", id_col)
 
 
 def word_languages(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -371,7 +371,7 @@ def word_languages(df: DataFrame, model: LanguageModel, id_col: str = "doc_id",
     columns are ignored; a model of no language labels no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, 256):
+        for b in small_batches(batches, 128):
             texts = texts_of(b.column(1))
             probs, lettered, lengths = model.label_words(texts)
             names = [model.languages[k] if s else None for k, s in zip(probs.argmax(axis=1).tolist(), lettered.tolist(), strict=True)]
@@ -380,7 +380,7 @@ def word_languages(df: DataFrame, model: LanguageModel, id_col: str = "doc_id",
 
     kind = df.schema[id_col].dataType.simpleString()
     picked = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return picked.mapInArrow(run, f"_id {kind}, words array<string>, langs array<string>").withColumnRenamed("_id", id_col)
+    return mapped(picked, run, f"_id {kind}, words array<string>, langs array<string>").withColumnRenamed("_id", id_col)
 
 
 def keep_identified(df: DataFrame, model: LanguageModel, least: float, text_col: str = "text") -> DataFrame:
@@ -390,9 +390,9 @@ def keep_identified(df: DataFrame, model: LanguageModel, least: float, text_col:
     or repeat, and repeated rows have the same fate; an empty table stays empty; other columns are kept, whatever their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, 256):
+        for b in small_batches(batches, 128):
             langs, scores = model.predict(texts_of(b.column(at)))
             yield b.filter(pa.array((scores >= least) & np.array([x != UNDETERMINED for x in langs], bool)))
 
     at = df.columns.index(text_col)
-    return df.mapInArrow(run, df.schema)
+    return mapped(df, run, df.schema)

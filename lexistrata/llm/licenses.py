@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexistrata.llm.common import small_batches, texts_of
+from lexistrata.llm.common import mapped, small_batches, texts_of
 
 THRESHOLD = 0.8
 
@@ -207,4 +207,4 @@ def scan_licenses(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, t
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, fields)], ["_id", "matches"])
 
     picked = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return picked.mapInArrow(run, f"_id {kind}, matches array<struct<license:string,dice:double,start:long,end:long>>").withColumnRenamed("_id", id_col)
+    return mapped(picked, run, f"_id {kind}, matches array<struct<license:string,dice:double,start:long,end:long>>").withColumnRenamed("_id", id_col)

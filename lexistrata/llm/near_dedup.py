@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexistrata.llm.common import durable, small_batches, texts_of
+from lexistrata.llm.common import durable, mapped, small_batches, texts_of
 from lexistrata.llm.components import connected_components
 from lexistrata.llm.simhash import fingerprint_edges, fingerprint_of, shingle_hashes
 from lexistrata.sources.storage import Rounds
@@ -126,7 +126,7 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     lead = parts.join(sets.withColumnRenamed("node", "b"), "b").select(F.col("b").alias("pivot"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), F.col("b").alias("node"), "hashes")
     rest = pairs.join(parts, "b").select(F.col("b").alias("pivot"), F.pmod(F.xxhash64("a"), "parts").alias("part"), F.lit(True).alias("member"), F.col("a").alias("node")).join(sets, "node")
     both = lead.unionByName(rest).repartition("pivot", "part").sortWithinPartitions("pivot", "part", "member")
-    return both.mapInArrow(_similarities, "a long, b long, s double")
+    return mapped(both, _similarities, "a long, b long, s double")
 
 
 def _solved(similarity: float):
@@ -163,7 +163,7 @@ def _links(groups: DataFrame, more: DataFrame, texts: DataFrame, shingle: int, s
     task each; large ones go on to the next round without their pivot."""
     spark = groups.sparkSession
     nodes = groups.select("node").unionByName(more.select(F.col("a").alias("node"))).unionByName(more.select(F.col("b").alias("node"))).distinct()
-    sets = durable(texts.join(nodes, "node").select("node", "_text").mapInArrow(_hashed(shingle), "node long, hashes binary"), "near-hashes")
+    sets = durable(mapped(texts.join(nodes, "node").select("node", "_text"), _hashed(shingle), "node long, hashes binary"), "near-hashes")
     found = spark.createDataFrame([], "a long, b long")
     rounds = Rounds("near-groups")
     while True:
@@ -185,7 +185,7 @@ def _links(groups: DataFrame, more: DataFrame, texts: DataFrame, shingle: int, s
         left = left.join(several.select("key"), "key", "left_semi").join(sizes, "node")
         left = rounds.next(left.join(left.groupBy("key").agg(F.sum("bytes").alias("total")), "key").select("key", "node", (F.col("total") <= SMALL).alias("small")))
         direct = left.where("small").join(sets, "node").select("key", "node", "hashes").repartition("key").sortWithinPartitions("key", "node")
-        found = durable(found.unionByName(direct.mapInArrow(_solved(similarity), "a long, b long")).distinct(), "near-links")
+        found = durable(found.unionByName(mapped(direct, _solved(similarity), "a long, b long")).distinct(), "near-links")
         if left.where("not small").isEmpty():
             return found
         groups, more = left.where("not small").select("key", "node"), spark.createDataFrame([], "a long, b long")
@@ -207,7 +207,7 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Defined results: null and word-free texts are one set and link among themselves; fewer words than a shingle are one shingle;
     ids and repeated rows as in simhash_components; an empty table gives no rows; other columns are ignored."""
     picked = df.select(F.col(id_col).try_cast("long").alias("_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("_text"))
-    docs = durable(picked.mapInArrow(_sets(shingle), "_id long, row long, _text string, h1 long, h2 long, fp long, bands array<long>"), "near-sets")
+    docs = durable(mapped(picked, _sets(shingle), "_id long, row long, _text string, h1 long, h2 long, fp long, bands array<long>"), "near-sets")
     sets = durable(docs.groupBy("h1", "h2").agg(F.min("_id").alias("first"), F.min("row").alias("node"), F.min("fp").alias("fp")), "near-distinct")
     kept = docs.select(F.col("row").alias("node"), "bands").join(sets.select("node"), "node")
     wild = kept.select("node", F.explode("bands").alias("key"))

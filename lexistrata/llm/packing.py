@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexistrata.llm.common import durable, small_batches, texts_of
+from lexistrata.llm.common import durable, mapped, small_batches, texts_of
 from lexistrata.llm.words import BYTE_LEVEL, IdCache
 
 #: Distinct words whose ids a worker keeps.
@@ -107,7 +107,7 @@ def tokenized_pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int
 
     id_type = df.schema[id_col].dataType.simpleString()
     picked = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return picked.mapInArrow(run, f"_id {id_type}, row_key long, piece int, start long, length long, ids binary").withColumnRenamed("_id", id_col)
+    return mapped(picked, run, f"_id {id_type}, row_key long, piece int, start long, length long, ids binary").withColumnRenamed("_id", id_col)
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +206,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, keys: tuple[str, ...] = ("row_
     n = pieces.count()
     dealt = pieces.repartition(max(1, -(-n // SHARD)), *keys).sortWithinPartitions(*keys)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return dealt.mapInArrow(_pack(capacity), f"{kinds}, sequence_id long, offset long")
+    return mapped(dealt, _pack(capacity), f"{kinds}, sequence_id long, offset long")
 
 
 def packed_documents(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", added_as_text: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexistrata.llm.common import crc_mod, small_batches, texts_of
+from lexistrata.llm.common import crc_mod, mapped, small_batches, texts_of
 
 FILTERS, WIDTH = 16, 5
 #: A chunk's positions, and how far the next one begins: chunks overlap and the last ends with the text.
@@ -176,7 +176,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             made = [training_chunks(t, np.random.default_rng(zlib.crc32(i.encode())), chunks) for i, t in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.binary())), b.column(2)], ["id", "chunks", "y"])
 
-    cut = joined.select(F.col("_id").cast("string").alias("id"), "_text", "_y").mapInArrow(run, "id string, chunks array<binary>, y int")
+    cut = mapped(joined.select(F.col("_id").cast("string").alias("id"), "_text", "_y"), run, "id string, chunks array<binary>, y int")
     rows = sorted(cut.collect(), key=lambda r: (r.id, r.chunks))
     net = train_chunks([[bytes(c) for c in r.chunks] for r in rows], np.array([r.y for r in rows], np.float64))
     if len(share) == 2:  # the odds as they are, not as they were drawn
@@ -198,7 +198,7 @@ def score_quality(df: DataFrame, net: QualityNet, id_col: str = "doc_id", text_c
 
     kind = df.schema[id_col].dataType.simpleString()
     picked = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return picked.mapInArrow(run, f"_id {kind}, score double, predicted int").withColumnRenamed("_id", id_col)
+    return mapped(picked, run, f"_id {kind}, score double, predicted int").withColumnRenamed("_id", id_col)
 
 
 def keep_quality(df: DataFrame, net: QualityNet, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -212,4 +212,4 @@ def keep_quality(df: DataFrame, net: QualityNet, text_col: str = "text", thresho
             yield b.filter(pa.array(net.scores(texts_of(b.column(at))) >= threshold))
 
     at = df.columns.index(text_col)
-    return df.mapInArrow(run, df.schema)
+    return mapped(df, run, df.schema)

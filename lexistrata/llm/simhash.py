@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexistrata.llm.common import durable, small_batches, texts_of
+from lexistrata.llm.common import durable, mapped, small_batches, texts_of
 from lexistrata.llm.components import connected_components
 
 BITS = 64
@@ -202,7 +202,7 @@ def fingerprint_edges(fps: DataFrame) -> DataFrame:
     part = F.expr(f"shiftrightunsigned(fp, cast(w div {SEGMENT} as int) * {SEGMENT}) & 4294967295L")
     key = F.expr(f"shiftleft(cast(w as bigint), {SEGMENT})").bitwiseOR(part.bitwiseAND(F.expr(f"~shiftleft(1L, w % {SEGMENT})")))
     sorted_keys = wild.select(key.alias("key"), "fp").repartition("key").sortWithinPartitions("key")
-    found = durable(sorted_keys.mapInArrow(_buckets, "a long, b long, big boolean").distinct(), "simhash-buckets")
+    found = durable(mapped(sorted_keys, _buckets, "a long, b long, big boolean").distinct(), "simhash-buckets")
     edges = found.where("not big").select("a", "b")
     over = found.where("big")
     if not over.isEmpty():
@@ -212,7 +212,7 @@ def fingerprint_edges(fps: DataFrame) -> DataFrame:
         part = F.expr("shiftrightunsigned(fp, shift) & 65535L & ~shiftleft(1L, w % 16)")
         sub = F.expr("shiftleft(cast(w as bigint), 16)").bitwiseOR(part)
         deeper = wild.select("key", "fp", "w", shift).select("key", sub.alias("sub"), "fp").repartition("key", "sub").sortWithinPartitions("key", "sub")
-        edges = edges.unionByName(deeper.mapInArrow(_sub_buckets, "a long, b long, big boolean").select("a", "b"))
+        edges = edges.unionByName(mapped(deeper, _sub_buckets, "a long, b long, big boolean").select("a", "b"))
     return edges
 
 
@@ -234,7 +234,7 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ignored.
     """
     picked = df.select(F.col(id_col).try_cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    docs = durable(picked.mapInArrow(_fingerprints(shingle, seed), "_id long, fp long"), "simhash-fp")
+    docs = durable(mapped(picked, _fingerprints(shingle, seed), "_id long, fp long"), "simhash-fp")
     fps = durable(docs.groupBy("fp").agg(F.min("_id").alias("first")), "simhash-distinct")
     roots = connected_components(fingerprint_edges(fps.select("fp")))
     rooted = fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))

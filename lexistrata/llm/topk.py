@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexistrata.llm.common import durable
+from lexistrata.llm.common import durable, mapped
 
 #: Vectors of a shard, of a leaf of its tree, and queries of a block.
 SHARD, LEAF, BLOCK = 8192, 256, 512
@@ -328,11 +328,11 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int = 20, scale: float = 64.
     drawn = candidates.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int(min(1.0, ROUTED / n) * (1 << 30)))).select("x").limit(2 * ROUTED)
     sample = _matrix(drawn.toArrow().column("x").combine_chunks())
     router = fit_router(sample, min(ROUTES, shards_wanted) if len(sample) else 1)
-    routed = durable(candidates.mapInArrow(_routed(router), "id long, x array<double>, leaf long"), "topk-routed")
+    routed = durable(mapped(candidates, _routed(router), "id long, x array<double>, leaf long"), "topk-routed")
     leaves = routed.groupBy("leaf").agg(F.ceil(F.count("*") / SHARD).cast("long").alias("salts"))  # ROUTES rows at most
     dealt = routed.join(F.broadcast(leaves), "leaf").select("leaf", F.pmod(F.xxhash64("id"), "salts").alias("salt"), "id", "x")
     dealt = dealt.repartition(shards_wanted, "leaf", "salt").sortWithinPartitions("leaf", "salt", "id")
-    shards = durable(dealt.mapInArrow(_made_shards, "number long, data binary, ball binary"), "topk-shards")
+    shards = durable(mapped(dealt, _made_shards, "number long, data binary, ball binary"), "topk-shards")
 
     def met(sent: DataFrame) -> DataFrame:
         """Each row of sent (_SENT) searches its shard; a shard with many queries is served in parts."""
@@ -341,7 +341,7 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int = 20, scale: float = 64.
         trees = trees.select("*", F.lit(None).cast("long").alias("qkey"), F.lit(None).cast("array<double>").alias("x"), F.lit(None).cast("double").alias("floor"), F.lit(None).cast("long").alias("floor_id"))
         asks = sent.join(parts, "number").select("number", F.pmod(F.xxhash64("qkey"), "parts").alias("part"), F.lit(None).cast("binary").alias("data"), "qkey", "x", "floor", "floor_id")
         together = trees.unionByName(asks).repartition("number", "part").sortWithinPartitions("number", "part", F.asc_nulls_first("qkey"))
-        return together.mapInArrow(_searched(k + 1), _FOUND)
+        return mapped(together, _searched(k + 1), _FOUND)
 
     own = same.where("asked").select("qkey", "x").mapInArrow(_routed(router), "qkey long, x array<double>, leaf long")
     numbers = shards.select((F.shiftright("number", 32)).alias("leaf"), "number").groupBy("leaf").agg(F.array_sort(F.collect_list("number")).alias("numbers"))
