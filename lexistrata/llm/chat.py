@@ -15,7 +15,7 @@ from lexistrata.llm.common import mapped, small_batches
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
-#: Earlier turns that turn_template's prefixes of a long conversation are rendered with.
+#: Turns of a window that suits turn_template, whose output for a turn follows from that turn alone.
 WINDOW = 16
 
 # The template's control strings. A backslash is doubled and `\-` goes into each control string of a text, so none is left.
@@ -40,9 +40,6 @@ def turn_template(turns: list[Turn]) -> str:
     return "".join(f"### Role: {escape(role)}\n<turn>{escape(text)}</turn>\n" for role, text in turns)
 
 
-#: Declares that a turn's output follows from the turn and so many before it at most. Spans verifies it for each long conversation.
-turn_template.window = WINDOW
-
 
 class RewritesHistory(ValueError):
     """A template that changes what it wrote for earlier turns when a turn is added."""
@@ -66,15 +63,15 @@ class Spans:
     and where its text lies in it. The text is found by rendering the turn a second time with a mark for its text: what comes
     before and after the mark is the template's. A prefix that does not begin with the one before it is a rewritten history.
 
-    All prefixes are whole, so time grows with the square of a conversation's turns. Only where a window is declared, by the caller or
-    by the template's attribute `window`, prefixes beyond 2 x window turns start at most so many turns back, at least window; whenever
-    the start moves on, the last turn must come out the same with the longer and the shorter history, and close(), called after the
+    All prefixes are whole, so time grows with the square of a conversation's turns. Only where the caller declares a window (that a
+    turn's output follows from it and so many turns before it) do prefixes beyond 2 x window turns start at most so many turns back, at
+    least window; whenever the start moves on, the last turn must come out the same with the longer and the shorter history, and close(), called after the
     last turn, holds the joined output against one rendering of the whole conversation.
     """
 
     def __init__(self, template: Template, window: int | None = None):
         self.template = template
-        self.window = window if window is not None else getattr(template, "window", None)
+        self.window = window
         self.turns: list[Turn] = []
         self.dropped: list[Turn] = []
         self.before = template([])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexistrata.llm.bpe import bpe_decode, bpe_encode
-from lexistrata.llm.chat import format_turns, read_back
+from lexistrata.llm.chat import WINDOW, format_turns, read_back
 from lexistrata.llm.common import crc_mod, table
 from lexistrata.llm.exact_dedup import exact_dedup
 from lexistrata.llm.langid import identify_languages, train_languages
@@ -61,7 +61,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = spark.createDataFrame([(-7, 0, "user", ODD_TEXT), (-7, 1, "assistant", ODD_TEXT)], rows.schema)
-    return read_back(format_turns(rows.unionByName(odd)))
+    return read_back(format_turns(rows.unionByName(odd), window=WINDOW))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
