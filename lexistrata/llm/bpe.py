@@ -17,7 +17,9 @@ from lexistrata.llm.words import IdCache
 
 NONE = np.int32(np.iinfo(np.int32).max)
 #: Widths of the padded matrices; a longer piece is merged with a heap, whose time follows length x log length.
-WIDTHS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 96, 128, 256)
+WIDTHS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 96, 128, 256, 384, 512, 768, 1024)
+#: Numbers of a matrix at most.
+CELLS = 1 << 22
 
 
 class PairTable:
@@ -167,8 +169,9 @@ class Bpe:
         for width in WIDTHS:
             places = np.flatnonzero((whole < 0) & (sizes > least) & (sizes <= width))
             least = width
-            for at in range(0, len(places), 65_536):
-                some = places[at : at + 65_536]
+            step = min(65_536, CELLS // width)
+            for at in range(0, len(places), step):
+                some = places[at : at + step]
                 n = sizes[some]
                 matrix = np.full((len(some), width), self.pairs.n - 1, np.int32)
                 matrix[np.arange(width) < n[:, None]] = self.bytes_to_id[np.frombuffer(b"".join([raw[i] for i in some.tolist()]), np.uint8)]

@@ -32,7 +32,7 @@ def random_texts(n, seed):
 
 
 def test_equals_tiktoken(own, reference):
-    texts = [*random_texts(1500, 1), "", "I'll don't they've", "a b  c", " a", "a ", "a\n b", "a \nb", "é.\nÜb, c", "²³ ½a ª's", "\xa0a \xa0 b\x85", "\u3000 a", "a \x1c b 's 'S", "a" * 255, "a" * 256, "ab" * 128 + "a"]
+    texts = [*random_texts(1500, 1), "", "I'll don't they've", "a b  c", " a", "a ", "a\n b", "a \nb", "é.\nÜb, c", "²³ ½a ª's", "\xa0a \xa0 b\x85", "\u3000 a", "a \x1c b 's 'S", "a" * 255, "a" * 256, "ab" * 128 + "a", "ba" * 200, "abc" * 340 + "dcab", "cab" * 342, "éa" * 700]
     flat, lengths = own.encode(texts)
     assert [x.tolist() for x in np.split(flat, np.cumsum(lengths)[:-1])] == [reference.encode_ordinary(t) for t in texts]
     assert own.decode(flat, lengths) == [t.encode() for t in texts]
