@@ -221,5 +221,5 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = connected_components(_links(groups, more, texts, shingle, similarity), "near-components")
     rooted = sets.select("node", "first", "h1", "h2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_set = rooted.join(least, "root").select("h1", "h2", "component_id")
+    by_set = rooted.join(least.repartition(F.xxhash64("root")), "root").select("h1", "h2", "component_id")
     return docs.select("_id", "h1", "h2").join(by_set, ["h1", "h2"]).select(F.col("_id").alias(id_col), "component_id")

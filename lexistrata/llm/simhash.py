@@ -239,6 +239,6 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     roots = connected_components(fingerprint_edges(fps.select("fp")))
     rooted = fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = rooted.join(least, "root").select("fp", "component_id")
+    by_fp = rooted.join(least.repartition(F.xxhash64("root")), "root").select("fp", "component_id")
     out = docs.join(by_fp, "fp")
     return out.select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
