@@ -19,6 +19,8 @@ SEGMENT = 32
 MAX_DISTANCE = 3
 #: A bucket up to this size is compared member by member; a larger one is cut again by the other segment's halves.
 DIRECT = 2048
+#: Fingerprints whose variants one task makes.
+VARIED = 1 << 15
 
 
 def lowered_words(text: str) -> list[bytes]:
@@ -197,8 +199,10 @@ def _sub_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprint_edges(fps: DataFrame) -> DataFrame:
-    """Distinct fingerprints (fp) to edges (a, b) that connect exactly those linked, directly or in steps."""
-    wild = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(2 * SEGMENT - 1))).alias("w"))
+    """Distinct fingerprints (fp) to edges (a, b) that connect exactly those linked, directly or in steps. They are counted first, so
+    pass a table that is cheap to read twice."""
+    dealt = fps.repartition(max(1, -(-fps.count() // VARIED)))  # a task writes VARIED x 64 rows
+    wild = dealt.select("fp", F.explode(F.sequence(F.lit(0), F.lit(2 * SEGMENT - 1))).alias("w"))
     part = F.expr(f"shiftrightunsigned(fp, cast(w div {SEGMENT} as int) * {SEGMENT}) & 4294967295L")
     key = F.expr(f"shiftleft(cast(w as bigint), {SEGMENT})").bitwiseOR(part.bitwiseAND(F.expr(f"~shiftleft(1L, w % {SEGMENT})")))
     sorted_keys = wild.select(key.alias("key"), "fp").repartition("key").sortWithinPartitions("key")
