@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,11 +30,24 @@ BATCH_BYTES, _SPARKS = 8 << 20, "67108864b"
 
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """df.mapInArrow, with batches small enough for several tasks beside each other: long texts would make those of 10,000 rows as
-    large as Spark's bound, in the JVM and in the worker. Sets the session's bound, unless it is another than Spark's own."""
+    large as Spark's bound, in the JVM and in the worker. Sets the session's bound, unless it is another than Spark's own. A worker
+    lives on for other tasks, so at a task's end it gives back what it no longer needs."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _give_back()
+
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(key) == _SPARKS:
         conf.set(key, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean, schema)
+
+
+def _give_back() -> None:
+    """Freed memory that the worker's allocators keep goes to the system, where they can do that."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def stripped(text: Column) -> Column:

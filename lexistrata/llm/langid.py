@@ -28,7 +28,7 @@ WORK, FEW_LABELS = 1 << 22, 16
 #: A whole word is a lexicon feature if so many training stretches hold it.
 LEXICON_COUNT = 3
 #: Words of a block in forward-backward; distinct words whose emissions a worker keeps.
-BLOCK, CACHE = 64, 400_000
+BLOCK, CACHE = 64, 100_000
 UNDETERMINED = "und"
 _PIECES = regex.compile(rf"[^\p{{L}}\p{{M}}]*+[\p{{L}}\p{{M}}]{{1,{PIECE}}}|[^\p{{L}}\p{{M}}]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
