@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexistrata.llm.common import mapped, ragged, small_batches, texts_of
+from lexistrata.llm.common import KEPT, mapped, ragged, small_batches, texts_of
 from lexistrata.llm.words import IdCache
 
 NONE = np.int32(np.iinfo(np.int32).max)
@@ -203,6 +203,9 @@ def vocabulary(path: str, pattern: str) -> Bpe:
     return Bpe(path, pattern)
 
 
+KEPT["bpe"] = vocabulary.cache_clear
+
+
 def _list_batch(ids: pa.Array, flat: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
     return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["_id", "_out"])
@@ -227,7 +230,7 @@ def bpe_encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
 
     id_type = df.schema[id_col].dataType.simpleString()
     picked = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    out = mapped(picked, run, f"_id {id_type}, _out array<int>")
+    out = mapped(picked, run, f"_id {id_type}, _out array<int>", "bpe")
     return out.select(F.col("_id").alias(id_col), F.col("_out").alias(out_col))
 
 
@@ -248,5 +251,5 @@ def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "d
     others = [F.col(c).alias(f"_c{i}") for i, c in enumerate(df.columns)]
     kinds = ", ".join(f"_c{i} {f.dataType.simpleString()}" for i, f in enumerate(df.schema.fields))
     picked = df.select(*others, F.col(ids_col).alias("_ids"))
-    out = mapped(picked, run, f"{kinds}, _ids array<int>, _out binary")
+    out = mapped(picked, run, f"{kinds}, _ids array<int>, _out binary", "bpe")
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(df.columns)], F.col("_out").alias(out_col))

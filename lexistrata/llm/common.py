@@ -28,12 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCH_BYTES, _SPARKS = 8 << 20, "67108864b"
 
 
-def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+#: What a worker keeps from task to task, by the operator that it is for: how to let go of it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, keeps: str = "") -> DataFrame:
     """df.mapInArrow, with batches small enough for several tasks beside each other: long texts would make those of 10,000 rows as
     large as Spark's bound, in the JVM and in the worker. Sets the session's bound, unless it is another than Spark's own. A worker
-    lives on for other tasks, so at a task's end it gives back what it no longer needs."""
+    lives on for other tasks, so it lets go of what it kept for another operator than `keeps`, and at a task's end gives back
+    what it no longer needs."""
 
     def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _let_go(keeps)
         yield from run(batches)
         _give_back()
 
@@ -43,6 +49,12 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(lean, schema)
 
 
+def _let_go(keeps: str) -> None:
+    for name, drop in KEPT.items():
+        if name != keeps:
+            drop()
+
+
 def _give_back() -> None:
     """Freed memory that the worker's allocators keep goes to the system, where they can do that."""
     pa.default_memory_pool().release_unused()

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexistrata.llm.common import durable, mapped, small_batches, texts_of
+from lexistrata.llm.common import KEPT, durable, mapped, small_batches, texts_of
 from lexistrata.llm.words import BYTE_LEVEL, IdCache
 
 #: Distinct words whose ids a worker keeps.
@@ -73,6 +73,9 @@ def word_ids(path: str, added_as_text: bool) -> WordIds:
     return WordIds(path, added_as_text)
 
 
+KEPT["packing"] = word_ids.cache_clear
+
+
 def tokenized_pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", added_as_text: bool = False) -> DataFrame:
     """Each text's ids by the tokenizer file `path`, then end_id, cut into pieces of `capacity` ids at most.
 
@@ -107,7 +110,7 @@ def tokenized_pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int
 
     id_type = df.schema[id_col].dataType.simpleString()
     picked = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return mapped(picked, run, f"_id {id_type}, row_key long, piece int, start long, length long, ids binary").withColumnRenamed("_id", id_col)
+    return mapped(picked, run, f"_id {id_type}, row_key long, piece int, start long, length long, ids binary", "packing").withColumnRenamed("_id", id_col)
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
