@@ -17,7 +17,7 @@ from lexistrata.llm.common import KEPT, durable, mapped, small_batches, texts_of
 from lexistrata.llm.words import BYTE_LEVEL, IdCache
 
 #: Distinct words whose ids a worker keeps.
-CACHE = 250_000
+CACHE = 400_000
 #: New words that go to the library as one text.
 JOINED = 256
 #: Pieces that are packed together: enough for tight bins, few enough for one task.
